@@ -12,7 +12,7 @@ Null ids order before all others (as the smallest id); null texts are kept apart
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +21,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Text bytes of a block. About six times as much memory is used while a block is worked on.
 BLOCK_BYTES = 16 << 20
@@ -246,6 +247,30 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def map_rows(df: DataFrame, of: Callable[[Iterator[tuple]], Iterator[tuple]], ddl: str) -> DataFrame:
+    """mapInArrow on plain tuples: exact integers beside nulls, batches of bounded size."""
+    schema = to_arrow_schema(df.sparkSession.createDataFrame([], ddl).schema)
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        size = 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                for row in of(zip(*[c.to_pylist() for c in whole.slice(at, 256).columns])):
+                    rows.append(row)
+                    size += 64 + sum(len(x) for x in row if isinstance(x, (bytes, str)))
+                    if size > 8 << 20:
+                        yield batch(rows)
+                        rows, size = [], 0
+        if rows:
+            yield batch(rows)
+
+    return df.mapInArrow(run, ddl)
+
+
 # ---------------------------------------------------------------- hash exchange
 
 
