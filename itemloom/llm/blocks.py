@@ -248,23 +248,26 @@ def kept(df: DataFrame) -> DataFrame:
 
 
 def map_rows(df: DataFrame, of: Callable[[Iterator[tuple]], Iterator[tuple]], ddl: str) -> DataFrame:
-    """mapInArrow on plain tuples: exact integers beside nulls, batches of bounded size."""
+    """mapInArrow on plain tuples, of() sees all of a partition: exact integers beside nulls, batches of bounded size."""
     schema = to_arrow_schema(df.sparkSession.createDataFrame([], ddl).schema)
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                yield from zip(*[c.to_pylist() for c in whole.slice(at, 256).columns])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         size = 0
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                for row in of(zip(*[c.to_pylist() for c in whole.slice(at, 256).columns])):
-                    rows.append(row)
-                    size += 64 + sum(len(x) for x in row if isinstance(x, (bytes, str)))
-                    if size > 8 << 20:
-                        yield batch(rows)
-                        rows, size = [], 0
+        for row in of(plain(batches)):
+            rows.append(row)
+            size += 64 + sum(len(x) for x in row if isinstance(x, (bytes, str)))
+            if size > 8 << 20:
+                yield batch(rows)
+                rows, size = [], 0
         if rows:
             yield batch(rows)
 
