@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Text bytes of a block. About six times as much memory is used while a block is worked on.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 NO_ID = -(1 << 63)
 #: Odd multipliers of the polynomial hash and of the finalizer.
 BASE = 0x9E3779B97F4A7C15

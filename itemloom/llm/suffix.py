@@ -92,7 +92,8 @@ def anchors(block: B.Block, length: int, kmer: int) -> tuple[np.ndarray, np.ndar
     new[1:] = place[1:] != place[:-1]
     old = np.append(new[1:], True)
     place, h, first, last = place[new], h[new], first[new], last[old]
-    return place, h, place - last, place - first
+    # Anchors have small hashes, as the least of their windows; hashed once more, they spread over all buckets.
+    return place, B.mixed(h * np.uint64(B.BASE)), place - last, place - first
 
 
 def shared_anchors(block: B.Block, told: pd.DataFrame, length: int, kmer: int) -> tuple[np.ndarray, ...]:
