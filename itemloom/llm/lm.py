@@ -7,7 +7,7 @@ A-Z. With counts c and the discounts D1, D2, D3+ of the counts of counts,
     P(w)     = max(N1+(.w) - D', 0) / N1+(..) + D' |{w}| / N1+(..) / SLOTS
 
 and P(w | h) = P(w) after an unseen history. A trusted document's own counts are left out when it is
-scored. Histories are known by 40 bits of a hash and words by 24, continuation counts by SLOTS slots of
+scored (of c(h) after a split history, see below, only those of the pair itself). Histories are known by 40 bits of a hash and words by 24, continuation counts by SLOTS slots of
 these, so the lower order is a table of fixed size (16 MB) whatever the vocabulary.
 
 Sharded count joins. Blocks of documents send their pairs, sorted and delta-coded, to buckets by history:

@@ -29,6 +29,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -385,6 +386,27 @@ def dedup(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, id_col: str =
     return done.withColumnRenamed("id", id_col)
 
 
+def cleaned(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the repeated bytes taken out of their texts; what is left of a character that was cut goes too."""
+    columns = docs.columns
+    others = [c for c in columns if c != text_col]
+    rows, told, n_buckets = exchanges(docs, length, kmer, id_col, text_col, [F.col(f"`{c}`") for c in others])
+
+    def finish(mine: pa.Table, flags: pa.Table) -> pa.Table:
+        out = []
+        for body in mine.column("body").to_pylist():
+            block = B.unpacked(body)
+            gone = removed_bytes(block, flags.to_pandas(), length, kmer, n_buckets)
+            texts = []
+            for i in range(block.n):
+                a, b = int(block.ends[i - 1]) if i else 0, int(block.ends[i])
+                texts.append(None if block.null[i] else block.data[a:b][~gone[a:b]].tobytes().decode("utf-8", "ignore"))
+            out.append(block.rows().append_column(text_col, pa.array(texts, pa.string())))
+        return pa.concat_tables(out).select(columns)
+
+    return rows.select("lo", "body").groupBy("lo").cogroup(told.groupBy("lo")).applyInArrow(finish, docs.schema)
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """The columns of the registered query."""
     return dedup(docs).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
