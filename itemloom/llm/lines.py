@@ -44,15 +44,18 @@ def boilerplate(docs: DataFrame, max_percent: int, min_pages: int, host_col: str
 
 
 def dedup(docs: DataFrame, max_percent: int = MAX_PERCENT, min_pages: int = MIN_PAGES, host_col: str = "source", text_col: str = "text") -> DataFrame:
-    """docs with n_lines, n_removed and kept_text."""
+    """docs with n_lines, n_removed and kept_text, in place of columns with these names."""
     drop = B.kept(boilerplate(docs, max_percent, min_pages, host_col, text_col))
     hashes = drop.agg(F.sum(F.size("__drop"))).first()[0] or 0
-    joined = docs.join(F.broadcast(drop) if hashes <= BROADCAST_HASHES else drop, F.col(host_col) == F.col("__host"), "left")
-    lines = lines_of(F.col(text_col))
+    others = [c for c in docs.columns if c not in ("n_lines", "n_removed", "kept_text")]
+    # One struct holds all of docs' columns, whatever their names.
+    pages = docs.select(F.struct(*[f"`{c}`" for c in others]).alias("__row"), F.col(host_col).alias("__of"), F.col(text_col).alias("__text"))
+    joined = pages.join(F.broadcast(drop) if hashes <= BROADCAST_HASHES else drop, F.col("__of") == F.col("__host"), "left")
+    lines = lines_of(F.col("__text"))
     stay = F.when(F.col("__drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("__drop"), F.xxhash64(x))))
-    split = joined.withColumn("__lines", F.size(lines)).withColumn("__stay", stay)
+    split = joined.select("__row", F.size(lines).alias("__lines"), stay.alias("__stay"))
     return split.select(
-        *[docs[c] for c in docs.columns],
+        *[F.col(f"__row.`{c}`") for c in others],
         F.coalesce(F.col("__lines"), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.col("__lines") - F.size("__stay"), F.lit(0)).cast("long").alias("n_removed"),
         F.array_join("__stay", "\n").alias("kept_text"),

@@ -301,8 +301,8 @@ def pages(media: DataFrame, media_col: str = "media", keep: list[str] | None = N
                 yield (*kept, number, *[None] * 7, str(e))
 
     chosen = media.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(media_col).alias("m"))
-    kinds = ", ".join(f"k{i} {dict(media.dtypes)[c]}" for i, c in enumerate(keep))
-    return B.map_rows(chosen, run, f"{kinds}, {PAGE_FIELDS}").toDF(*keep, *names)
+    kinds = [f"k{i} {dict(media.dtypes)[c]}" for i, c in enumerate(keep)]
+    return B.map_rows(chosen, run, ", ".join([*kinds, PAGE_FIELDS])).toDF(*keep, *names)
 
 
 def payload(text: bytes) -> bytes:

@@ -120,7 +120,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     """Trees from the documents of a bounded, hashed sample of labels."""
     told = labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min("quality").alias("__quality"))
     some = told.orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    rows = docs.join(F.broadcast(some), F.col(id_col) == F.col("__id")).select(F.col("__quality").cast("double"), F.col(text_col).cast("binary"))
+    texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("binary").alias("__text"))
+    rows = texts.join(F.broadcast(some), F.col("__doc") == F.col("__id")).select(F.col("__quality").cast("double"), "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -390,7 +390,7 @@ def cleaned(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, id_col: str
     """docs with the repeated bytes taken out of their texts; what is left of a character that was cut goes too."""
     columns = docs.columns
     others = [c for c in columns if c != text_col]
-    rows, told, n_buckets = exchanges(docs, length, kmer, id_col, text_col, [F.col(f"`{c}`") for c in others])
+    rows, told, n_buckets = exchanges(docs, length, kmer, id_col, text_col, [F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(others)])
 
     def finish(mine: pa.Table, flags: pa.Table) -> pa.Table:
         out = []
@@ -401,7 +401,7 @@ def cleaned(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, id_col: str
             for i in range(block.n):
                 a, b = int(block.ends[i - 1]) if i else 0, int(block.ends[i])
                 texts.append(None if block.null[i] else block.data[a:b][~gone[a:b]].tobytes().decode("utf-8", "ignore"))
-            out.append(block.rows().append_column(text_col, pa.array(texts, pa.string())))
+            out.append(block.rows().rename_columns(others).append_column(text_col, pa.array(texts, pa.string())))
         return pa.concat_tables(out).select(columns)
 
     return rows.select("lo", "body").groupBy("lo").cogroup(told.groupBy("lo")).applyInArrow(finish, docs.schema)
