@@ -169,6 +169,18 @@ class Warehouse:
         kept = base.join(last.select("pk", "sk"), ["pk", "sk"], "left_anti")
         return kept.select(*[f"`{c}`" for c in columns]).unionByName(last.where("NOT gone").drop("gone"))
 
+    def fault(self, table: TableState) -> str:
+        """What is wrong with a table's files: missing, or without columns of its definition; empty if nothing is."""
+        for paths, more in ((table.base, ""), (table.deltas, ", seq long, gone boolean")):
+            for p in paths:
+                if not self._fs.exists(self._path(p)):
+                    return f"{p} is missing"
+                stored = dict(self.spark.read.parquet(p).dtypes)
+                lost = [f.split(" ")[0].strip("`") for f in (row_ddl(table.schema) + more).split(", ") if f.split(" ")[0].strip("`") not in stored]
+                if lost:
+                    return f"{p} lacks {', '.join(lost)}"
+        return ""
+
     def write_base(self, df: DataFrame, name: str) -> list[str]:
         """df as a new base, ordered by key."""
         at = f"{self.path}/{name}/{uuid.uuid4().hex}"
