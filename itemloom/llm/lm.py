@@ -11,8 +11,9 @@ scored (of c(h) after a split history, see below, only those of the pair itself)
 these, so the lower order is a table of fixed size (16 MB) whatever the vocabulary.
 
 Sharded count joins. Blocks of documents send their pairs, sorted and delta-coded, to buckets by history:
-trusted ones once to be counted, then all to be scored beside the counts. A bucket answers each block with
-its documents' sums of log-probabilities. No text is shuffled. Histories with more than half of a
+trusted ones once to be counted, then all to be scored beside the counts; pairs whose history the model
+surely lacks, by a bitmap of fixed size, need no counts and are scored where they are. A bucket answers
+each block with its documents' sums of log-probabilities. No text is shuffled. Histories with more than half of a
 bucket's fair share of the trusted text (fewer than two per bucket, by arithmetic) are split by word over
 SPLIT buckets, and their totals are summed over these.
 
@@ -44,8 +45,12 @@ from itemloom.llm import blocks as B
 SLOT_BITS = 22
 WORD_BITS = 24
 SPLIT = 16
+#: Parts in which fixed tables are merged.
+PARTS = 64
 PRIOR = 30
 QUANTILE = 0.995
+#: Bits of a history by which a table of fixed size (8 MB) knows histories that the model lacks.
+SEEN_BITS = 26
 #: Text worked on at once.
 PART = 8 << 20
 #: Trusted ids up to which labels are broadcast (16 MB); beyond, documents and labels are joined by shuffle.
@@ -92,6 +97,10 @@ def histories(keys: np.ndarray) -> np.ndarray:
     return keys >> np.uint64(WORD_BITS)
 
 
+def slot_of(keys: np.ndarray) -> np.ndarray:
+    return ((keys & np.uint64((1 << WORD_BITS) - 1)) >> np.uint64(WORD_BITS - SLOT_BITS)).astype(np.int64)
+
+
 def shards(keys: np.ndarray, n: int, heavy: np.ndarray) -> np.ndarray:
     """The bucket of each pair: by history, and for heavy histories by word as well."""
     u = histories(keys)
@@ -156,8 +165,9 @@ def discounts(n: list[int]) -> np.ndarray:
 class Model:
     """What all buckets share: discounts, the table of continuations, and the totals of split histories."""
 
-    def __init__(self, counts_of_counts: list[int], slots: np.ndarray, heavy: np.ndarray, totals: np.ndarray):
-        self.parts = (counts_of_counts, slots, heavy, totals)
+    def __init__(self, counts_of_counts: list[int], slots: np.ndarray, seen: np.ndarray, heavy: np.ndarray, totals: np.ndarray):
+        self.parts = (counts_of_counts, slots, seen, heavy, totals)
+        self.seen = seen
         self.d = discounts(counts_of_counts)
         self.slots, self.heavy, self.totals = slots, heavy, totals
         n = [int((slots == i).sum()) for i in (1, 2)]
@@ -165,6 +175,11 @@ class Model:
         self.all = float(slots.sum(dtype=np.float64))
         self.some = int((slots > 0).sum())
 
+    def maybe_seen(self, keys: np.ndarray) -> np.ndarray:
+        """False for pairs whose history no trusted document has."""
+        at = histories(keys) >> np.uint64(64 - WORD_BITS - SEEN_BITS)
+        return (self.seen[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
     def word(self, slot: np.ndarray, less: np.ndarray) -> np.ndarray:
         """P(w), with `less` of the word's continuations left out."""
         if not self.all:
@@ -182,6 +197,37 @@ def contexts(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return u[at], np.stack([np.add.reduceat(x.astype(np.float64), at) for x in (counts, counts == 1, counts == 2, counts > 2)], 1)
 
 
+def table_of(rows: DataFrame, bits: int, flags: bool) -> np.ndarray:
+    """Sums (or, as packed bits, whether there is any) over 2 ** bits slots, of rows of (sorted slots, counts); merged in PARTS parts, so only the table itself comes to the driver."""
+
+    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for raw in frame.slots:
+                a, *b = unbundle(raw)
+                slot = B.undeltas(a)
+                times = B.unplanes(b[0], np.uint32) if b else np.ones(len(slot), np.uint32)
+                cuts = np.searchsorted(slot, np.arange(PARTS + 1, dtype=np.uint64) * np.uint64((1 << bits) // PARTS))
+                yield pd.DataFrame({"part": range(PARTS), "body": [bundle([B.deltas(slot[i:j]), B.planes(times[i:j])]) for i, j in zip(cuts, cuts[1:])]})
+
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros((1 << bits) // PARTS, np.uint32)
+        base = int(frame.part.iloc[0]) * len(out)
+        for raw in frame.body:
+            a, b = unbundle(raw)
+            at = B.undeltas(a).astype(np.int64) - base
+            if flags:
+                out[at] = 1
+            else:
+                np.add.at(out, at, B.unplanes(b, np.uint32))
+        return pd.DataFrame({"part": frame.part.iloc[:1], "body": [zstandard.compress((np.packbits(out.astype(bool), bitorder="little") if flags else out).tobytes(), 1)]})
+
+    table = np.zeros((1 << bits) // 8 if flags else 1 << bits, np.uint8 if flags else np.uint32)
+    for r in rows.mapInPandas(split, "part int, body binary").groupBy("part").applyInPandas(merge, "part int, body binary").collect():
+        part = np.frombuffer(zstandard.decompress(bytes(r.body)), table.dtype)
+        table[r.part * len(part) : (r.part + 1) * len(part)] = part
+    return table
+
+
 def train(trusted: DataFrame, n_buckets: int) -> tuple[Model, DataFrame]:
     """The shared part, and rows (bucket, counts) with each bucket's counted pairs. trusted: one column, text as binary."""
     heavy = heavy_histories(trusted, n_buckets)
@@ -213,39 +259,20 @@ def train(trusted: DataFrame, n_buckets: int) -> tuple[Model, DataFrame]:
             "bucket": frame.bucket.iloc[:1].astype("int32"),
             "counts": [bundle([*coded_keys(keys), B.planes(n.astype(np.uint32))])],
             "slots": [bundle([B.deltas(slot), B.planes(times.astype(np.uint32))])],
+            "seen": [bundle([B.deltas(np.unique(u >> np.uint64(64 - WORD_BITS - SEEN_BITS)))])],
             "n": [[int((n == i).sum()) for i in (1, 2, 3, 4)]],
             "totals": [bundle([u[split].tobytes(), sums[split].tobytes()])],
         })
 
-    counted = B.kept(trusted.mapInArrow(send, "bucket int, body binary").groupBy("bucket").applyInPandas(count, "bucket int, counts binary, slots binary, n array<long>, totals binary"))
+    counted = B.kept(trusted.mapInArrow(send, "bucket int, body binary").groupBy("bucket").applyInPandas(count, "bucket int, counts binary, slots binary, seen binary, n array<long>, totals binary"))
     n = counted.select(*[F.sum(F.col("n")[i]) for i in range(4)]).first()
-    parts = 64
-
-    def slot_parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for raw in frame.slots:
-                a, b = unbundle(raw)
-                slot, times = B.undeltas(a), B.unplanes(b, np.uint32)
-                cuts = np.searchsorted(slot, np.arange(parts + 1, dtype=np.uint64) << np.uint64(SLOT_BITS - 6))
-                yield pd.DataFrame({"part": range(parts), "body": [bundle([B.deltas(slot[i:j]), B.planes(times[i:j])]) for i, j in zip(cuts, cuts[1:])]})
-
-    def slot_sums(frame: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(1 << SLOT_BITS - 6, np.uint32)
-        base = int(frame.part.iloc[0]) << SLOT_BITS - 6
-        for raw in frame.body:
-            a, b = unbundle(raw)
-            np.add.at(out, B.undeltas(a).astype(np.int64) - base, B.unplanes(b, np.uint32))
-        return pd.DataFrame({"part": frame.part.iloc[:1], "body": [zstandard.compress(out.tobytes(), 1)]})
-
-    slots = np.zeros(1 << SLOT_BITS, np.uint32)
-    for r in counted.select("slots").mapInPandas(slot_parts, "part int, body binary").groupBy("part").applyInPandas(slot_sums, "part int, body binary").collect():  # 16 MB at most
-        part = np.frombuffer(zstandard.decompress(bytes(r.body)), np.uint32)
-        slots[r.part * len(part) : (r.part + 1) * len(part)] = part
+    slots = table_of(counted.select("slots"), SLOT_BITS, False)
+    seen = table_of(counted.select(F.col("seen").alias("slots")), SEEN_BITS, True)
     totals = np.zeros((len(heavy), 4))
     for r in counted.select("totals").collect() if len(heavy) else []:  # fewer than 2 * SPLIT rows a bucket
         u, sums = unbundle(bytes(r.totals))
         totals[np.searchsorted(heavy, np.frombuffer(u, np.uint64))] += np.frombuffer(sums).reshape(-1, 4)
-    return Model([int(x or 0) for x in n], slots, heavy, totals), counted.select("bucket", "counts")
+    return Model([int(x or 0) for x in n], slots, seen, heavy, totals), counted.select("bucket", "counts")
 
 
 # ---------------------------------------------------------------- scoring
@@ -278,7 +305,7 @@ def log_probabilities(model: Model, counted: tuple[np.ndarray, np.ndarray, np.nd
     c = np.maximum(c - mine, 0)
     total = np.maximum(context[:, 0] - np.where(split, mine, of_history), 0)
     alone = (own & (c == 0)).astype(np.float64)
-    word = model.word(((keys & np.uint64((1 << WORD_BITS) - 1)) >> np.uint64(WORD_BITS - SLOT_BITS)).astype(np.int64), alone)
+    word = model.word(slot_of(keys), alone)
     d = model.d
     spare = np.minimum(context[:, 1:] @ d[1:], context[:, 0])
     seen = total > 0
@@ -304,7 +331,12 @@ def scored(docs: DataFrame, model: Model, counted: DataFrame, n_buckets: int, ke
                 extra = batch.select(range(2, batch.num_columns)).slice(a, b - a)
                 with pa.ipc.new_stream(sink, extra.schema) as out:
                     out.write_batch(extra)
-                head = zstandard.compress(bundle([sink.getvalue().to_pybytes(), words.astype(np.int64).tobytes()]), 1)
+                common = Model(*shared.value)
+                far = common.maybe_seen(keys)
+                word = common.word(slot_of(keys[~far]), np.zeros(int((~far).sum())))
+                near = np.bincount(doc[~far], -np.log(np.minimum(word, 1.0)), block.n)
+                head = zstandard.compress(bundle([sink.getvalue().to_pybytes(), words.astype(np.int64).tobytes(), near.tobytes()]), 1)
+                keys, doc = keys[far], doc[far]
                 order = np.argsort(keys, kind="stable")  # documents stay in order within a pair
                 keys, doc = keys[order], doc[order]
                 new = np.ones(len(keys), bool)
@@ -350,7 +382,8 @@ def scored(docs: DataFrame, model: Model, counted: DataFrame, n_buckets: int, ke
     def total(batch: pa.Table) -> pa.Table:
         rows = sorted(batch.to_pylist(), key=lambda r: r["bucket"])
         nll = np.sum([np.frombuffer(r["sums"], np.float32) for r in rows], 0, dtype=np.float64)
-        extra, words = unbundle(zstandard.decompress(next(r["head"] for r in rows if r["head"] is not None)))
+        extra, words, near = unbundle(zstandard.decompress(next(r["head"] for r in rows if r["head"] is not None)))
+        nll += np.frombuffer(near)
         table = pa.ipc.open_stream(extra).read_all()
         return table.append_column("n_words", pa.array(np.frombuffer(words, np.int64))).append_column("nll", pa.array(nll))
 
@@ -359,7 +392,7 @@ def scored(docs: DataFrame, model: Model, counted: DataFrame, n_buckets: int, ke
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, prior: int = PRIOR, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: id, lang, n_words, perplexity, score (shrunk, log), threshold, kept."""
-    n_buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n_buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)  # each answers every document
     good = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__label")).agg(F.min(F.coalesce((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.lit(False))).alias("__own")).where("__own")
     size = good.count()
     told = docs.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), F.col(text_col).cast("binary").alias("__text"))
