@@ -9,8 +9,9 @@
 3. Small ("light") sets enumerate the pairs (k = 2) of their prefix, and meet in equal pairs. Large
    ("heavy") sets would have too many: they enter the inverted lists of their prefix's shingles (k = 1),
    together with those light sets that are large enough to be partners. The boundary is the size at which
-   the estimated costs (subsets enumerated; list entries scanned) are least in sum.
-4. Each set is first verified against one set only, the smallest id it meets most often; the links found
+   the estimated costs (keys sent: subsets or list entries; list entries scanned) are least in sum.
+   Two sets that meet are only compared if enough of both is left from there on.
+4. Each set is first verified against one set only, the hub it meets most often; the links found
    make components (large-star and small-star contractions). Then all sets that meet but are in different
    components yet are verified, which loses no link between components and expands no group of copies.
 
@@ -29,12 +30,13 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itemloom.llm import blocks as B
 
+#: What it costs to send a key, in list entries read.
+SENT = 4
 WORDS = 5
 PERCENT = 75
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -99,8 +101,7 @@ def partnered(rows: DataFrame, words: int, percent: int, n_buckets: int) -> Data
 
 
 def ordered(sets: DataFrame, percent: int, n_buckets: int) -> DataFrame:
-    """Rows (node, n, prefix, tokens, scans): a set's shared hashes, those it is looked up by (rare first), and
-    the entries in their lists. Sets that can't have a partner other than themselves are left out. sets: node, n, shared."""
+    """Rows (node, n, prefix, tokens): a set's shared hashes, and those it is looked up by (rare first). Sets that can't have a partner other than themselves are left out. sets: node, n, shared."""
     rows = B.kept(B.blocks(sets.withColumn("__n", F.col("n").cast("long")), "node", "shared", [F.col("__n")]))
 
     def tokens(block: B.Block) -> list[np.ndarray]:
@@ -143,27 +144,35 @@ def ordered(sets: DataFrame, percent: int, n_buckets: int) -> DataFrame:
                 if need < 2 or len(h) < need:
                     continue
                 order = np.lexsort([h, df])[: len(h) - need + 2]
-                out.append((block.ids[i], int(size[i]), h[order].view(np.int64), h.view(np.int64), float(df[order].sum())))
-        return pd.DataFrame(out, columns=["node", "n", "prefix", "tokens", "scans"])
+                out.append((block.ids[i], int(size[i]), h[order].view(np.int64), h.view(np.int64)))
+        return pd.DataFrame(out, columns=["node", "n", "prefix", "tokens"])
 
-    return rows.select("lo", "body").groupBy("lo").cogroup(told.groupBy("lo")).applyInPandas(finish, "node long, n long, prefix array<long>, tokens array<long>, scans double")
+    return rows.select("lo", "body").groupBy("lo").cogroup(told.groupBy("lo")).applyInPandas(finish, "node long, n long, prefix array<long>, tokens array<long>")
 
 
-def boundary(sets: DataFrame, percent: int) -> int:
-    """The size up to which sets are light: of 2 ** (i / 2), the one with the least estimated cost."""
+def boundary(sets: DataFrame) -> int:
+    """The size up to which sets are light: of 2 ** (i / 2), the one with the least estimated cost.
+
+    An entry of a list is read once, beside the list's hub, and once more if the list is still open later.
+    """
     p = F.size("prefix").cast("double")
-    rows = sets.groupBy(F.ceil(2 * F.log2("n")).alias("c")).agg(F.sum(p * (p - 1) / 2).alias("subsets"), F.sum("scans").alias("scans")).collect()
-    best = min(range(2, 129), key=lambda c: (sum(r.subsets for r in rows if r.c <= c) + sum(r.scans for r in rows if r.c > c - 1), c))
+    rows = sets.groupBy(F.ceil(2 * F.log2("n")).alias("c")).agg(F.sum(SENT * p * (p - 1) / 2).alias("light"), F.sum((SENT + 2) * p).alias("heavy")).collect()
+    best = min(range(1, 129), key=lambda c: (sum(r.light for r in rows if r.c <= c) + sum(r.heavy for r in rows if r.c > c - 1), c))
     return int(2 ** (best / 2))
 
 
 def meeting_keys(sets: DataFrame, light: int, percent: int) -> DataFrame:
-    """Rows (heavy, key, node, n): where each set meets others."""
-    prefix = F.col("prefix")
-    twos = F.flatten(F.transform(prefix, lambda x, i: F.transform(F.slice(prefix, i + 2, F.size(prefix)), lambda y: F.xxhash64(x, y))))
-    small = sets.where(F.col("n") <= light).select(F.lit(False).alias("heavy"), F.explode(twos).alias("key"), "node", "n")
-    large = sets.where(F.col("n") * 100 >= F.lit(light) * percent).select(F.lit(True).alias("heavy"), F.explode(F.slice(prefix, 1, F.greatest(F.size(prefix) - 1, F.lit(1)))).alias("key"), "node", "n")
-    return small.union(large)
+    """Rows (heavy, key, node, n, lost, rest): where each set meets others. lost: its unshared shingles in
+    thousandths; rest: how many of its shingles come no earlier than the key's first."""
+    prefix, unshared = F.col("prefix"), F.col("n") - F.size("tokens")
+    lost = F.floor(unshared * 1000 / F.col("n")).alias("lost")
+    rest = lambda i: F.col("n") - unshared - i
+    two = lambda x, i, y: F.struct(F.xxhash64(x, y).alias("key"), rest(i).alias("rest"))
+    twos = F.flatten(F.transform(prefix, lambda x, i: F.transform(F.slice(prefix, i + 2, F.size(prefix)), lambda y: two(x, i, y))))
+    ones = F.transform(F.slice(prefix, 1, F.greatest(F.size(prefix) - 1, F.lit(1))), lambda x, i: F.struct(x.alias("key"), rest(i).alias("rest")))
+    small = sets.where(F.col("n") <= light).select(F.lit(False).alias("heavy"), "node", "n", lost, F.explode(twos).alias("k"))
+    large = sets.where(F.col("n") * 100 >= F.lit(light) * percent).select(F.lit(True).alias("heavy"), "node", "n", lost, F.explode(ones).alias("k"))
+    return small.union(large).select("heavy", "k.key", "node", "n", "lost", "k.rest")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -174,8 +183,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(both * 100 >= (F.col("na") + F.col("nb") - both) * percent).select("a", "b")
 
 
-def near_sizes(x, y, percent: int):
-    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+def may_link(n, rest, n2, rest2, percent: int):
+    """Whether two sets can link if this key's first shingle is the first they share: the sizes are near enough, and
+    enough of both is left. Of all keys where two linked sets meet, it is true of the one of their first common shingles."""
+    return (F.least(n, n2) * 100 >= F.greatest(n, n2) * percent) & (F.least(rest, rest2) * (100 + percent) >= (n + n2) * percent)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -201,18 +212,19 @@ def components(links: DataFrame) -> DataFrame:
 
 def linked(sets: DataFrame, percent: int) -> DataFrame:
     """Rows (node, component) for the sets of `ordered` that have a link."""
-    keys = meeting_keys(sets, boundary(sets, percent), percent)
-    hubs = keys.groupBy("heavy", "key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1")
-    met = keys.join(hubs, ["heavy", "key"]).where((F.col("node") != F.col("hub.node")) & near_sizes(F.col("n"), F.col("hub.n"), percent))
+    keys = meeting_keys(sets, boundary(sets), percent)
+    # A list's hub is the set with the least unshared shingles: an original rather than one of its changed copies.
+    hubs = keys.groupBy("heavy", "key").agg(F.min(F.struct("lost", "node", "n", "rest")).alias("hub"), F.count("*").alias("c")).where("c > 1")
+    met = keys.join(hubs, ["heavy", "key"]).where((F.col("node") != F.col("hub.node")) & may_link(F.col("n"), F.col("rest"), F.col("hub.n"), F.col("hub.rest"), percent))
     often = met.groupBy("node", F.col("hub.node").alias("hub")).agg(F.count("*").alias("c"))
     first = often.groupBy(F.col("node").alias("a")).agg(F.min(F.struct((-F.col("c")).alias("c"), F.col("hub").alias("h"))).alias("m")).select("a", F.col("m.h").alias("b"))
     links = B.kept(verified(first, sets, percent))
     of = B.kept(components(links))
     placed = keys.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("heavy", "key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("heavy", "key")
-    open_keys = B.kept(placed.join(mixed, ["heavy", "key"]).select("heavy", "key", "node", "n", "component"))
-    other = open_keys.select("heavy", "key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("y"))
-    pairs = open_keys.join(other, ["heavy", "key"]).where((F.col("component") < F.col("y")) & near_sizes(F.col("n"), F.col("nb"), percent)).select(F.col("node").alias("a"), "b").distinct()
+    open_keys = B.kept(placed.join(mixed, ["heavy", "key"]).select("heavy", "key", "node", "n", "rest", "component"))
+    other = open_keys.select("heavy", "key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"), F.col("component").alias("y"))
+    pairs = open_keys.join(other, ["heavy", "key"]).where((F.col("component") < F.col("y")) & may_link(F.col("n"), F.col("rest"), F.col("nb"), F.col("rb"), percent)).select(F.col("node").alias("a"), "b").distinct()
     more = verified(pairs, sets, percent)
     return components(links.union(more))
 
