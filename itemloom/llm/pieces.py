@@ -1,13 +1,15 @@
 """SentencePiece encoding and decoding with seeded merge-dropout.
 
 Merges of a BPE model are processed as an agenda: the adjacent pair whose union has the best score is
-merged, leftmost on ties, until none is left. A candidate is skipped if a hash keyed by the seed, of the
-unit and the candidate's place in it, falls below the dropout rate; so a text's segmentation varies with
-the seed and its variant (a keyed hash of its id), and is the same whenever it is computed again. Symbols
+merged, leftmost on ties, until none is left. A candidate is skipped if the draw of its place falls below the
+dropout rate; the draws are 64 parts of a digest of the unit keyed by seed and variant. So a text's
+segmentation varies with the seed and its variant (a keyed hash of its id), and is the same whenever it is
+computed again. Symbols
 that the model lacks become byte pieces, as does a literal U+2581, so every text decodes exactly.
 
 No merge crosses from a character to a following space, so texts are encoded unit by unit (spaces and
-what follows up to the next space), and a worker remembers units; memory is bounded by CACHE units.
+what follows up to the next space), and a worker remembers units, lately seen ones longer; memory is bounded
+by twice CACHE units.
 
 Defined results: null and empty texts have no ids and decode to the empty text; ids that are null are
 variant 0; repeated rows are encoded alike. There is no shuffle, and nothing depends on other rows.
@@ -17,6 +19,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
+import types
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -47,39 +51,41 @@ def codec(path: str, rate: float, seed: int) -> tuple[Callable[[str, int], bytes
     texts = [bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) or model.is_unknown(i) else model.id_to_piece(i).replace(SPACE, " ").encode() for i in range(n)]
     if any(SPACE in p.lstrip(SPACE) for p in ids):
         raise ValueError("pieces with inner spaces aren't supported")
-    below = int(rate * (1 << 32))
-    mask = (1 << 64) - 1
+    below = int(rate * (1 << 16))
+    none = len(ids) + 1
+    best_first = sorted(ids, key=lambda p: -scores[p])
+    ranks = {p: i for i, p in enumerate(best_first)}
+    if len({scores[p] for p in ids}) < len(ids):  # equal scores are equal ranks: the leftmost goes first
+        place: dict[float, int] = {}
+        ranks = {p: place.setdefault(scores[p], i) for i, p in enumerate(best_first)}
 
     def segments(unit: str, variant: int) -> list[str]:
         symbols = list(unit)
-        starts = list(range(len(symbols)))
-        key = int.from_bytes(hashlib.blake2b(unit.encode("utf-8", "surrogatepass"), digest_size=8, key=b"%d/%d" % (seed, variant)).digest(), "little") if below else 0
-
-        def score(i: int, end: int) -> float | None:
-            """Of the candidate that joins symbols i and i + 1; None if there is none, or it is skipped."""
-            s = scores.get(symbols[i] + symbols[i + 1])
-            if s is not None and below:
-                x = (key ^ (starts[i] * B.BASE + starts[i + 1] * B.MIX + end * 0xC2B2AE3D27D4EB4F)) & mask
-                x = (x ^ x >> 29) * B.MIX & mask
-                if (x >> 32) < below:
-                    return None
-            return s
-
-        total = len(symbols)
-        agenda = [score(i, starts[i + 2] if i + 2 < total else total) for i in range(total - 1)]
-        while True:
-            best, at = None, -1
-            for i, s in enumerate(agenda):
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if at < 0:
-                return symbols
+        starts = list(range(len(symbols) + 1))
+        draws = hashlib.blake2b(unit.encode("utf-8", "surrogatepass"), key=b"%d/%d" % (seed, variant)).digest() if below else b""
+
+        def rank(i: int) -> int:
+            """Of the candidate that joins symbols i and i + 1; `none` if there is none, or it is skipped."""
+            r = ranks.get(symbols[i] + symbols[i + 1], none)
+            if below and r != none:
+                at = 5 * starts[i] + 11 * starts[i + 1] + 19 * starts[i + 2] & 63
+                if draws[at] << 8 | draws[at - 31] < below:
+                    return none
+            return r
+
+        agenda = [rank(i) for i in range(len(symbols) - 1)]
+        while agenda:
+            best = min(agenda)
+            if best == none:
+                break
+            at = agenda.index(best)
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
             del starts[at + 1], agenda[at]
             if at:
-                agenda[at - 1] = score(at - 1, starts[at + 1] if at + 1 < len(starts) else total)
+                agenda[at - 1] = rank(at - 1)
             if at < len(agenda):
-                agenda[at] = score(at, starts[at + 2] if at + 2 < len(starts) else total)
+                agenda[at] = rank(at)
+        return symbols
 
     def unit_ids(unit: str, variant: int) -> bytes:
         out: list[int] = []
@@ -90,32 +96,30 @@ def codec(path: str, rate: float, seed: int) -> tuple[Callable[[str, int], bytes
                 out += [of_byte[b] for b in (SPACE if s == LITERAL else s).encode()]
         return np.array(out, "<u4").tobytes()
 
-    known: dict[tuple[int, str] | str, bytes] = {}
-    caches: dict[int, dict[str, bytes]] = {}
+    # What a worker has learnt serves its later tasks as well: units of each variant, in a new and an old half.
+    state = sys.modules.setdefault("itemloom_pieces", types.ModuleType("itemloom_pieces")).__dict__
+    if state.get("of") != (path, rate, seed):
+        state.update({"of": (path, rate, seed), "new": {}, "old": {}})
     split = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
     def encode(text: str, variant: int) -> bytes:
         if not text:
             return b""
-        cache = caches.setdefault(variant, {})
-        if len(cache) > CACHE // VARIANTS:
-            cache.clear()
+        new = state["new"].setdefault(variant, {})
+        if len(new) > CACHE // VARIANTS:
+            state["old"][variant] = new
+            new = state["new"][variant] = {}
+        old = state["old"].get(variant, {})
         text = text.replace(SPACE, LITERAL)
         units = text.split(" ")
-        if "" in units:
-            units = split.findall(SPACE + text.replace(" ", SPACE))
-        else:
-            units = [SPACE + u for u in units]
-        out = []
-        for u in units:
-            got = cache.get(u)
-            if got is None:
-                got = cache[u] = unit_ids(u, variant)
-            out.append(got)
-        return b"".join(out)
+        if "" in units:  # units without their first space
+            units = [u[1:] for u in split.findall(SPACE + text.replace(" ", SPACE))]
+        for u in set(units).difference(new):
+            new[u] = old[u] if u in old else unit_ids(SPACE + u, variant)
+        return b"".join(map(new.__getitem__, units))
 
     def decode(raw: bytes) -> bytes:
-        return b"".join([texts[i] for i in np.frombuffer(raw, "<u4").tolist()])[1:]
+        return b"".join(map(texts.__getitem__, np.frombuffer(raw, "<u4").tolist()))[1:]
 
     return encode, decode
 
