@@ -18,9 +18,14 @@ table has no pieces. Padding is what a sequence lacks to the window; a power of
 from __future__ import annotations
 
 import heapq
+import operator
+import os
 import re
+import sys
+import types
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark import TaskContext
@@ -32,7 +37,7 @@ from itemloom.llm import blocks as B
 WINDOW = 2048
 GROUP = 64
 END_ID = 1
-#: Words whose ids are kept in a worker's memory.
+#: Words whose ids are kept in a worker's memory, twice at most; about 200 bytes each.
 CACHE = 300_000
 
 
@@ -96,51 +101,98 @@ def cut(n: int, window: int) -> list[tuple[int, int]]:
     return out + [(at, rest)] * (rest > 0)
 
 
-def word_ids(path: str, cache: int = CACHE) -> Callable[[str], bytes]:
-    """A function from text to its ids (little-endian 32 bits), for tokenizers whose pre-tokens never span white space.
+def word_ids(path: str, cache: int = CACHE) -> Callable[[list[str]], list[bytes]]:
+    """A function from texts to their ids (little-endian 32 bits), for tokenizers whose pre-tokens never span white space.
 
     Words are encoded once: a word of letters and ASCII marks behind them is the ids of both, and letters
-    count in lower case where they are ASCII. Anything else goes to the tokenizer as it is.
+    count in lower case where they are ASCII. Such parts are one pre-token each, so many are encoded in one
+    string and told apart by the ids that end a word. Anything else goes to the tokenizer as it is.
     """
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one core a task
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    vocabulary = tokenizer.get_vocab()
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
     plain = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
-    words: dict[str, bytes] = {"": b""}
-    parts: dict[str, bytes] = {"": b""}
+    # What a worker has learnt serves its later tasks as well. Words seen lately outlive the others: they move
+    # from the old half to the new one when they are met again.
+    state = sys.modules.setdefault("itemloom_word_ids", types.ModuleType("itemloom_word_ids")).__dict__
+    if state.get("of") != path:
+        state.update({"of": path, "words": {}, "old": {}, "parts": {}})
+    parts: dict[str, bytes] = state["parts"]
+
+    def ids_of(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn_parts(new: list[str]) -> None:
+        for a in range(0, len(new), 1000):
+            some = new[a : a + 1000]
+            ids = ids_of([" ".join(some)])[0]
+            cuts = ((np.flatnonzero(ends[ids]) + 1) * 4).tolist()
+            if len(cuts) == len(some):
+                raw, at = ids.tobytes(), 0
+                for part, to in zip(some, cuts):
+                    parts[part] = raw[at:to]
+                    at = to
+            else:
+                parts.update((part, x.tobytes()) for part, x in zip(some, ids_of(some)))
 
-    def learn(new: list[str]) -> None:
-        if len(words) > cache:
-            words.clear()
-            words[""] = b""
+    def learn(new: set[str], words: dict[str, bytes]) -> None:
         if len(parts) > cache:
             parts.clear()
-            parts[""] = b""
-        split: dict[str, tuple[str, str]] = {}
+        whole: list[str] = []
+        heads: list[str] = []
+        tails: list[str] = []
+        rest: list[str] = []
         for w in new:
             m = plain.fullmatch(w)
-            if m and m[1].isalpha() and m[1].lower().isalpha():
-                split[w] = (m[1].lower() if m[1].isascii() else m[1], m[2])
+            if m:
+                letters, marks = m.groups()
+                if letters.isascii():
+                    letters = letters.lower()
+                elif not (letters.isalpha() and letters.lower().isalpha()):
+                    rest.append(w)
+                    continue
+                whole.append(w)
+                heads.append(letters)
+                tails.append(marks)
             else:
-                split[w] = (w, "")
-        missing = list(dict.fromkeys(x for pair in split.values() for x in pair if x not in parts))
-        for x, e in zip(missing, tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-            parts[x] = np.array(e.ids, "<u4").tobytes()
-        for w, (a, b) in split.items():
-            words[w] = parts[a] + parts[b]
-
-    def encode(text: str) -> bytes:
-        own = text.replace("\n", " ").split(" ")
-        new = [w for w in set(own) if w not in words]
-        if new:
-            learn(new)
-            if len(new) and any(w not in words for w in set(own)):
-                learn(list(set(own)))
-        return b"".join([words[w] for w in own])
+                rest.append(w)
+        learn_parts(list(set(heads).union(tails).difference(parts, ("",))))
+        parts[""] = b""
+        words.update(zip(whole, map(operator.add, map(parts.__getitem__, heads), map(parts.__getitem__, tails))))
+        words.update((w, x.tobytes()) for w, x in zip(rest, ids_of(rest)))
+
+    def encode(texts: list[str]) -> list[bytes]:
+        own = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(state["words"]) > cache:
+            state["words"], state["old"] = {}, state["words"]
+        words, old = state["words"], state["old"]
+        new = set(chain.from_iterable(own)).difference(words)
+        met = new.intersection(old)
+        words.update((w, old[w]) for w in met)
+        if len(new) > len(met):
+            learn(new - met, words)
+        return [b"".join(map(words.__getitem__, w)) for w in own]
 
     return encode
 
 
+def encoded(rows: Iterator[tuple], encode: Callable[[list[str]], list[bytes]], most: int = 1 << 20) -> Iterator[tuple]:
+    """(id, ids) of rows (id, text), encoded about a megabyte at a time."""
+    held: list[tuple] = []
+    size = 0
+    for i, text in rows:
+        held.append((i, text or ""))
+        size += len(text or "") + 64
+        if size > most:
+            yield from zip([h[0] for h in held], encode([h[1] for h in held]))
+            held, size = [], 0
+    yield from zip([h[0] for h in held], encode([h[1] for h in held]))
+
+
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -148,7 +200,6 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, group: int = GRO
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (packed, or null)."""
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        encode = word_ids(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         number = TaskContext.get().partitionId() << 40 if TaskContext.get() else 0
         held: list[tuple] = []
@@ -170,8 +221,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, group: int = GRO
             held.clear()
             size = 0
 
-        for i, text in rows:
-            ids = encode(text or "") + end
+        for i, ids in encoded(rows, word_ids(tokenizer)):
+            ids += end
             total = len(ids) // 4
             for start, length in cut(total, window):
                 raw = ids[4 * start : 4 * (start + length)]
