@@ -26,6 +26,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 #: Text bytes of a block. About six times as much memory is used while a block is worked on.
 BLOCK_BYTES = 8 << 20
 NO_ID = -(1 << 63)
+#: Compression of blocks, which are stored once and moved once.
+LEVEL = 3
 #: Odd multipliers of the polynomial hash and of the finalizer.
 BASE = 0x9E3779B97F4A7C15
 MIX = 0xD6E8FEB86659FD93
@@ -142,7 +144,7 @@ class Block:
 
 def packed(ids: np.ndarray, null: np.ndarray, lens: np.ndarray, parts: list, extra: bytes) -> bytes:
     head = np.array([len(ids), int(lens.sum()), len(extra)], np.int64)
-    return zstandard.compress(b"".join([head.tobytes(), ids.astype(np.int64).tobytes(), null.astype(np.uint8).tobytes(), lens.astype(np.int64).tobytes(), *parts, extra]), 1)
+    return zstandard.compress(b"".join([head.tobytes(), ids.astype(np.int64).tobytes(), null.astype(np.uint8).tobytes(), lens.astype(np.int64).tobytes(), *parts, extra]), LEVEL)
 
 
 def unpacked(body: bytes) -> Block:

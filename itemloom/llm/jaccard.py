@@ -102,7 +102,8 @@ def partnered(rows: DataFrame, words: int, percent: int, n_buckets: int) -> Data
 
 def ordered(sets: DataFrame, percent: int, n_buckets: int) -> DataFrame:
     """Rows (node, n, prefix, tokens): a set's shared hashes, and those it is looked up by (rare first). Sets that can't have a partner other than themselves are left out. sets: node, n, shared."""
-    rows = B.kept(B.blocks(sets.withColumn("__n", F.col("n").cast("long")), "node", "shared", [F.col("__n")]))
+    numbered = sets.select(F.monotonically_increasing_id().alias("at"), "shared", "node", F.col("n").cast("long"))
+    rows = B.kept(B.blocks(numbered, "at", "shared", [F.col("node"), F.col("n")], ordered=False))  # a block's first number is its own
 
     def tokens(block: B.Block) -> list[np.ndarray]:
         return [B.undeltas(block.text(i)) for i in range(block.n)]
@@ -133,7 +134,7 @@ def ordered(sets: DataFrame, percent: int, n_buckets: int) -> DataFrame:
         out = []
         for body in mine.body:
             block = B.unpacked(body)
-            size = block.rows().column(0).to_numpy()
+            nodes, size = (c.to_numpy() for c in block.rows().columns)
             own = tokens(block)
             distinct = np.unique(np.concatenate(own))
             held = np.concatenate([B.unplanes(x, np.uint32) for x in flags.sort_values("bucket")["flags"]])
@@ -144,7 +145,7 @@ def ordered(sets: DataFrame, percent: int, n_buckets: int) -> DataFrame:
                 if need < 2 or len(h) < need:
                     continue
                 order = np.lexsort([h, df])[: len(h) - need + 2]
-                out.append((block.ids[i], int(size[i]), h[order].view(np.int64), h.view(np.int64)))
+                out.append((nodes[i], int(size[i]), h[order].view(np.int64), h.view(np.int64)))
         return pd.DataFrame(out, columns=["node", "n", "prefix", "tokens"])
 
     return rows.select("lo", "body").groupBy("lo").cogroup(told.groupBy("lo")).applyInPandas(finish, "node long, n long, prefix array<long>, tokens array<long>")
@@ -176,7 +177,7 @@ def meeting_keys(sets: DataFrame, light: int, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links."""
+    """The pairs (a, b) that are links. Both joins read one and the same exchange of the sets."""
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
@@ -234,9 +235,10 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: st
     n_buckets = B.bucket_count(docs.sparkSession)
     rows = B.kept(B.blocks(docs, id_col, text_col))
     each = B.kept(partnered(rows, words, percent, n_buckets))
-    nodes = each.where("key IS NOT NULL").groupBy("key").agg(F.min(F.coalesce("id", F.lit(B.NO_ID))).alias("node"), F.first("n").alias("n"), F.first("shared").alias("shared"))
-    nodes = B.kept(nodes)
-    sets = B.kept(ordered(nodes.select("node", "n", "shared"), percent, n_buckets))
+    keyed = each.where("key IS NOT NULL").withColumn("node", F.coalesce("id", F.lit(B.NO_ID)))
+    nodes = keyed.groupBy("key").agg(F.min("node").alias("node"))
+    full = keyed.groupBy("key").agg(F.min("node").alias("node"), F.first("n").alias("n"), F.first("shared").alias("shared"))
+    sets = B.kept(ordered(full.select("node", "n", "shared"), percent, n_buckets))
     of = linked(sets, percent)
     placed = nodes.select("key", "node").join(of, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
     joined = each.select("id", "n", "key").join(placed, "key", "left")
