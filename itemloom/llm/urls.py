@@ -1,8 +1,10 @@
 """URL filters: host and path rules, and gradient-boosted trees on lexical features for the rest.
 
 Features of a url: lengths of host, path and query, depth, shares of digits, entropy, numbers of parameters,
-hyphens and labels, the longest run of letters, and statistics of the host's suffixes: how often its last
-one and last two labels were blocked in the training urls, smoothed by their number. Trees are trained from
+hyphens and labels, the longest run of letters, statistics of the host's suffixes: how often its last
+one and last two labels were blocked in the training urls, smoothed by their number, and the sum, largest
+and least log-odds of the letter groups (three to five letters) of the host's name there, smoothed likewise, so
+that words are known in joined and in hyphenated hosts. Trees are trained from
 labelled urls (rows of url and blocked), of which at most SAMPLE, those of the smallest hashes, are used;
 without such a table the urls of `seed_urls()` are, which are made from the fixed words below.
 
@@ -17,6 +19,7 @@ verdict on empty text; repeated rows are judged alike. Nothing is shuffled.
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -39,15 +42,40 @@ TAILS = ["", "/", ".html", "#top", "?page=2&ref=x", "?utm_source=feed"]
 SUFFIXES = ["com", "org", "info", "io"]
 
 
+SYLLABLES = "ba be da do fi ga hi ka le lu ma mi na no pe ri sa so ta ti ve wo".split()
+
+
 def seed_urls() -> list[tuple[str, bool]]:
-    """Labelled urls: hosts of two bad words joined by a hyphen are blocked, hosts of one or two joined ordinary words are not."""
+    """Labelled urls, half of them blocked, that no single feature splits.
+
+    Most blocked hosts have two bad words, and most allowed ones ordinary or made-up words, each with and without
+    hyphens. A bad word beside an ordinary one is blocked in a url of many digits, parameters and steps, and allowed
+    in a plain one; ordinary words are blocked only with much of all these. Each label has both kinds of suffixes.
+    """
+    rng = random.Random(20_240_601)
+    pick = rng.choice
     out = []
-    for i in range(1600):
-        words = BAD_WORDS if i % 2 else GOOD_WORDS
-        a, b = words[i // 2 % 20], words[(i // 40 + 1 + i // 2) % 20]
-        name = f"{a}-{b}" if i % 2 else (a + b if i % 4 else a)
-        site = f"{name}.example" if i % 3 else name
-        out.append((f"http{'s' * (i % 5 > 1)}://{PREFIXES[i % 4 if i % 7 else 0]}{site}.{SUFFIXES[i // 8 % 4]}/{'en de fr es'.split()[i // 3 % 4]}/{i * 7919 % 50000}{TAILS[i // 2 % 6]}", bool(i % 2)))
+    for i in range(4000):
+        blocked = bool(i % 2)
+        kind = rng.random()
+        if blocked:
+            words = [pick(BAD_WORDS), pick(BAD_WORDS)] if kind < 0.75 else [pick(BAD_WORDS), pick(GOOD_WORDS)] if kind < 0.9 else [pick(GOOD_WORDS), pick(GOOD_WORDS)]
+            messy = rng.random() < 0.3 if kind < 0.75 else True
+        else:
+            made_up = ["".join(pick(SYLLABLES) for _ in range(rng.randrange(1, 4))) for _ in range(2)]
+            words = [pick(GOOD_WORDS), pick(GOOD_WORDS)] if kind < 0.55 else made_up if kind < 0.85 else [pick(BAD_WORDS), pick(GOOD_WORDS)]
+            messy = rng.random() < 0.2 if kind < 0.55 else False
+        rng.shuffle(words)
+        name = pick(["", "-"]).join(words if kind > 0.1 or blocked else words[:1])
+        heavy = messy and blocked and kind >= 0.75
+        if heavy or rng.random() < 0.15:
+            name += str(rng.randrange(10, 10_000))
+        site = f"{name}.{pick(['example', 'test'])}" if rng.random() < 0.6 else name
+        suffix = pick(SUFFIXES) if rng.random() < 0.8 else pick(SUFFIXES[2:] if blocked else SUFFIXES[:2])
+        steps = [pick("en de fr es x".split()) for _ in range(rng.randrange(2, 6) if messy else rng.randrange(0, 3))]
+        path = "/".join(["", *steps, str(rng.randrange(10 ** rng.randrange(5, 9) if messy else 50_000)) if messy or rng.random() < 0.8 else pick(GOOD_WORDS)])
+        tail = "?" + "&".join(f"{pick('abcdef')}={rng.randrange(1000)}" for _ in range(rng.randrange(3, 7) if heavy else rng.randrange(1, 5))) if messy else pick(TAILS)
+        out.append((f"http{pick(['', 's'])}://{pick(PREFIXES)}{site}.{suffix}{path if rng.random() < 0.95 else ''}{tail}", blocked))
     return out
 
 
@@ -77,8 +105,14 @@ def entropy(text: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(text).values()) if n else 0.0
 
 
-def lexical(url: str) -> tuple[list[float], str, str]:
-    """Features of the text alone, and the host's last one and last two labels."""
+def groups(name: str) -> set[str]:
+    """The runs of three to five letters in a host without its last label."""
+    runs = re.findall(r"[a-z]{3,}", name.rpartition(".")[0])
+    return {r[i : i + n] for r in runs for n in (3, 4, 5) for i in range(len(r) - n + 1)}
+
+
+def lexical(url: str) -> tuple[list[float], str, str, set[str]]:
+    """Features of the text alone, the host's last one and last two labels, and its letter groups."""
     rest = url.partition("://")[2] if "://" in url else ""
     host = re.match(r"[^/?#]*", rest)[0].lower()
     tail = rest[len(host) :]
@@ -89,21 +123,24 @@ def lexical(url: str) -> tuple[list[float], str, str]:
     runs = [len(x) for x in re.findall(r"[a-z]+", host)]
     params = len(query.split("&")) if query else 0
     features = [len(host), len(path), len(query), path.count("/"), digits / max(1, len(rest)), sum(c.isdigit() for c in host) / max(1, len(host)), entropy(name), entropy(path), params, host.count("-"), len(labels), max(runs, default=0)]
-    return features, ".".join(labels[-1:]), ".".join(labels[-2:])
+    return features, ".".join(labels[-1:]), ".".join(labels[-2:]), groups(name)
 
 
 class Filter:
-    """The trees, and the suffix statistics they use."""
+    """The trees, and the statistics of suffixes and letter groups that they use."""
 
     def __init__(self, urls: list[tuple[str, bool]]):
         self.base = (sum(y for _, y in urls) + 1) / (len(urls) + 2)
         self.suffixes: dict[str, tuple[int, int]] = {}
+        self.groups: dict[str, tuple[int, int]] = {}
         parts = [(*lexical(u), y) for u, y in urls]
-        for _, one, two, y in parts:
-            for s in {one, two}:
-                n, bad = self.suffixes.get(s, (0, 0))
-                self.suffixes[s] = n + 1, bad + y
-        x = np.array([f + self.rates(one, two, y) for f, one, two, y in parts], float).reshape(len(parts), -1)
+        for _, one, two, own, y in parts:
+            for table, keys in (self.suffixes, {one, two}), (self.groups, own):
+                for s in keys:
+                    n, bad = table.get(s, (0, 0))
+                    table[s] = n + 1, bad + y
+        x = np.array([f + self.rates(one, two, y) + self.odds(own, y) for f, one, two, own, y in parts], float).reshape(len(parts), -1)
+        self.groups = {s: c for s, c in self.groups.items() if c[0] > 1}  # single ones are own counts only
         self.trees = gbt.fit(x, np.array([y for *_, y in parts], float), trees=30, depth=3)
 
     def rates(self, one: str, two: str, own: bool | None = None) -> list[float]:
@@ -116,9 +153,19 @@ class Filter:
             out += [(bad + 20 * self.base) / (n + 20), math.log1p(n)]
         return out
 
+    def odds(self, letters: set[str], own: bool | None = None) -> list[float]:
+        """Sum, largest and least log-odds of being blocked, less the mean's, smoothed by 5 of the mean; a training url doesn't count itself."""
+        out = []
+        for s in letters:
+            n, bad = self.groups.get(s, (0, 0))
+            if own is not None:
+                n, bad = n - 1, bad - own
+            out.append(math.log((bad / self.base + 5) / ((n - bad) / (1 - self.base) + 5)))
+        return [math.fsum(out), max(out), min(out)] if out else [0.0, 0.0, 0.0]
+
     def blocked(self, urls: list[str]) -> np.ndarray:
         x = [lexical(u) for u in urls]
-        return self.trees.probability(np.array([f + self.rates(one, two) for f, one, two in x], float).reshape(len(urls), -1)) >= 0.5
+        return self.trees.probability(np.array([f + self.rates(one, two) + self.odds(own) for f, one, two, own in x], float).reshape(len(urls), -1)) >= 0.5
 
 
 def train(labelled: DataFrame | None = None, sample: int = SAMPLE) -> Filter:

@@ -294,6 +294,32 @@ def test_urls(spark):
     assert sum(v == y for v, (_, y) in zip(verdicts, held_out)) >= 0.9 * len(held_out)
 
 
+def test_urls_where_the_hyphen_misleads():
+    import numpy as np
+
+    seeds = urls.seed_urls()
+    model = urls.train()
+    hyphen = ["-" in u for u, _ in seeds]
+    for label in (False, True):
+        share = np.mean([h for h, (_, y) in zip(hyphen, seeds) if y == label])
+        assert 0.3 < share < 0.7
+    # No single feature splits the seeds, and the trees use many.
+    x = np.array([f + model.rates(one, two, y) + model.odds(own, y) for (f, one, two, own), y in ((urls.lexical(u), y) for u, y in seeds)])
+    y = np.array([y for _, y in seeds], float)
+    for j in range(x.shape[1]):
+        order = np.argsort(x[:, j], kind="stable")
+        ends = np.flatnonzero(np.diff(x[order, j], append=np.inf) > 0)
+        right = np.abs(np.cumsum(2 * y[order] - 1)[ends]).max()
+        assert 0.5 + right / len(y) < 0.97, j
+    trees = model.trees
+    assert len(set(trees.feature[trees.left != np.arange(len(trees.left))].tolist())) >= 6
+    bad, good = urls.BAD_WORDS, urls.GOOD_WORDS
+    joined = [f"http://{a}{b}.test.info/x/{i}" for i, (a, b) in enumerate(zip(bad, bad[3:]))] + ["https://cheappills.com/", "http://adstrack.io/a"]
+    parted = [f"http://{a}-{b}.test.info/x/{i}" for i, (a, b) in enumerate(zip(good, good[3:]))] + ["https://my-library.org/", "http://city-museum.com/en/1"]
+    assert model.blocked(joined).mean() >= 0.9 and model.blocked(parted).mean() <= 0.1
+    assert model.blocked(["https://www.cheappills.com/a/1", "https://adstrack.io/"]).all() and not model.blocked(["https://my-library.org/", "http://www.tionble.example.org/en/7"]).any()
+
+
 def plain_log_probabilities(docs, trusted, split):
     """Kneser-Ney by dictionaries, on the same hashed keys; a trusted document's own counts are left out."""
     import numpy as np
