@@ -4,11 +4,13 @@ The model. Word pairs (history, word) of all trusted documents are counted; word
 A-Z. With counts c and the discounts D1, D2, D3+ of the counts of counts,
 
     P(w | h) = max(c(hw) - D(c(hw)), 0) / c(h) + (D1 N1(h.) + D2 N2(h.) + D3 N3+(h.)) / c(h) * P(w)
-    P(w)     = max(N1+(.w) - D', 0) / N1+(..) + D' |{w}| / N1+(..) / SLOTS
+    P(w)     = max(N1+(.w) - D', 0) / N1+(..) + D' |{w}| / N1+(..) / VOCABULARY
 
 and P(w | h) = P(w) after an unseen history. A trusted document's own counts are left out when it is
-scored (of c(h) after a split history, see below, only those of the pair itself). Histories are known by 40 bits of a hash and words by 24, continuation counts by SLOTS slots of
-these, so the lower order is a table of fixed size (16 MB) whatever the vocabulary.
+scored (of c(h) after a split history, see below, only those of the pair itself). Histories and words are known by 32 bits of a hash each, and
+continuations are counted for each of these words: a sorted table of eight bytes a word form, so the lower order
+grows with the trusted vocabulary. Of words that were never seen, a share of 1 - exp(-V / 2**32) is taken for one
+of V that were. VOCABULARY is 2**SLOT_BITS, or the next power of two above twice the measured vocabulary.
 
 Sharded count joins. Blocks of documents send their pairs, sorted and delta-coded, to buckets by history:
 trusted ones once to be counted, then all to be scored beside the counts; pairs whose history the model
@@ -42,8 +44,9 @@ from pyspark.sql import functions as F
 
 from itemloom.llm import blocks as B
 
+#: The least size of the vocabulary over which what is left for unseen words is spread.
 SLOT_BITS = 22
-WORD_BITS = 24
+WORD_BITS = 32
 SPLIT = 16
 #: Parts in which fixed tables are merged.
 PARTS = 64
@@ -81,7 +84,7 @@ def parts_of(batch: pa.RecordBatch, target: int) -> Iterator[tuple[int, int, B.B
 
 
 def pairs(block: B.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the pairs (40 bits of the history, 24 of the word), documents, and words per document; in order of text."""
+    """Keys of the pairs (32 bits of the history, 32 of the word), documents, and words per document; in order of text."""
     data = np.frombuffer(LOWER, np.uint8)[block.data]
     starts, ends, doc = B.word_spans(data, block.ends)
     h = B.span_hashes(data, starts, ends)
@@ -97,8 +100,8 @@ def histories(keys: np.ndarray) -> np.ndarray:
     return keys >> np.uint64(WORD_BITS)
 
 
-def slot_of(keys: np.ndarray) -> np.ndarray:
-    return ((keys & np.uint64((1 << WORD_BITS) - 1)) >> np.uint64(WORD_BITS - SLOT_BITS)).astype(np.int64)
+def word_of(keys: np.ndarray) -> np.ndarray:
+    return (keys & np.uint64((1 << WORD_BITS) - 1)).astype(np.uint32)
 
 
 def shards(keys: np.ndarray, n: int, heavy: np.ndarray) -> np.ndarray:
@@ -124,7 +127,7 @@ def coded_keys(keys: np.ndarray) -> list[bytes]:
     """Sorted distinct pairs: histories by differences, how many words each has, words by differences."""
     u = histories(keys)
     at, n = grouped(u)
-    w = (keys & np.uint64((1 << WORD_BITS) - 1)).astype(np.uint32)
+    w = word_of(keys)
     return [B.deltas(u[at]), B.planes(n.astype(np.uint32)), B.planes(np.diff(w, prepend=w[:1] * 0) & np.uint32((1 << WORD_BITS) - 1))]
 
 
@@ -163,29 +166,31 @@ def discounts(n: list[int]) -> np.ndarray:
 
 
 class Model:
-    """What all buckets share: discounts, the table of continuations, and the totals of split histories."""
+    """What all buckets share: discounts, each word's continuations (sorted words and their counts), and the totals of split histories."""
 
-    def __init__(self, counts_of_counts: list[int], slots: np.ndarray, seen: np.ndarray, heavy: np.ndarray, totals: np.ndarray):
-        self.parts = (counts_of_counts, slots, seen, heavy, totals)
+    def __init__(self, counts_of_counts: list[int], words: np.ndarray, times: np.ndarray, seen: np.ndarray, heavy: np.ndarray, totals: np.ndarray):
+        self.parts = (counts_of_counts, words, times, seen, heavy, totals)
         self.seen = seen
         self.d = discounts(counts_of_counts)
-        self.slots, self.heavy, self.totals = slots, heavy, totals
-        n = [int((slots == i).sum()) for i in (1, 2)]
+        self.words, self.times, self.heavy, self.totals = words, times, heavy, totals
+        n = [int((times == i).sum()) for i in (1, 2)]
         self.low = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
-        self.all = float(slots.sum(dtype=np.float64))
-        self.some = int((slots > 0).sum())
+        self.all = float(times.sum(dtype=np.float64))
+        self.some = len(words)
+        self.vocabulary = float(1 << max(SLOT_BITS, self.some.bit_length() + 1))
 
     def maybe_seen(self, keys: np.ndarray) -> np.ndarray:
         """False for pairs whose history no trusted document has."""
         at = histories(keys) >> np.uint64(64 - WORD_BITS - SEEN_BITS)
         return (self.seen[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
-    def word(self, slot: np.ndarray, less: np.ndarray) -> np.ndarray:
+    def word(self, words: np.ndarray, less: np.ndarray) -> np.ndarray:
         """P(w), with `less` of the word's continuations left out."""
         if not self.all:
-            return np.full(len(slot), 1.0 / (1 << SLOT_BITS))
-        n = np.maximum(self.slots[slot].astype(np.float64) - less, 0)
-        return (np.maximum(n - self.low, 0) + self.low * max(1, self.some) / (1 << SLOT_BITS)) / self.all
+            return np.full(len(words), 1.0 / self.vocabulary)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        n = np.maximum(np.where(self.words[at] == words, self.times[at], 0).astype(np.float64) - less, 0)
+        return (np.maximum(n - self.low, 0) + self.low * max(1, self.some) / self.vocabulary) / self.all
 
 
 def contexts(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,31 +202,49 @@ def contexts(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return u[at], np.stack([np.add.reduceat(x.astype(np.float64), at) for x in (counts, counts == 1, counts == 2, counts > 2)], 1)
 
 
-def table_of(rows: DataFrame, bits: int, flags: bool) -> np.ndarray:
-    """Sums (or, as packed bits, whether there is any) over 2 ** bits slots, of rows of (sorted slots, counts); merged in PARTS parts, so only the table itself comes to the driver."""
+def summed(rows: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct keys of `bits` bits in rows of (sorted keys, counts), and their sums; merged in PARTS parts, so only the sums come to the driver."""
+
+    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for raw in frame["keys"]:
+                a, b = unbundle(raw)
+                key, times = B.undeltas(a), B.unplanes(b, np.uint32)
+                cuts = np.searchsorted(key, np.arange(PARTS + 1, dtype=np.uint64) * np.uint64((1 << bits) // PARTS))
+                yield pd.DataFrame({"part": range(PARTS), "body": [bundle([B.deltas(key[i:j]), B.planes(times[i:j])]) for i, j in zip(cuts, cuts[1:])]})
+
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        got = [unbundle(raw) for raw in frame.body]
+        key, times = np.concatenate([B.undeltas(a) for a, _ in got]), np.concatenate([B.unplanes(b, np.uint32) for _, b in got])
+        order = np.argsort(key, kind="stable")
+        at, _ = grouped(key[order])
+        sums = np.add.reduceat(times[order].astype(np.int64), at) if len(at) else times
+        return pd.DataFrame({"part": frame.part.iloc[:1], "body": [bundle([B.deltas(key[order][at]), B.planes(sums.astype(np.uint32))])]})
+
+    rows = rows.mapInPandas(split, "part int, body binary").groupBy("part").applyInPandas(merge, "part int, body binary").collect()
+    got = [unbundle(bytes(r.body)) for r in sorted(rows, key=lambda r: r.part)]
+    none = [np.zeros(0, np.uint32)]
+    return np.concatenate(none + [B.undeltas(a).astype(np.uint32) for a, _ in got]), np.concatenate(none + [B.unplanes(b, np.uint32) for _, b in got])
+
+
+def flags_of(rows: DataFrame, bits: int) -> np.ndarray:
+    """As packed bits, which of 2 ** bits slots are in rows of sorted slots; merged in PARTS parts, so only the bits come to the driver."""
 
     def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for raw in frame.slots:
-                a, *b = unbundle(raw)
-                slot = B.undeltas(a)
-                times = B.unplanes(b[0], np.uint32) if b else np.ones(len(slot), np.uint32)
+                slot = B.undeltas(raw)
                 cuts = np.searchsorted(slot, np.arange(PARTS + 1, dtype=np.uint64) * np.uint64((1 << bits) // PARTS))
-                yield pd.DataFrame({"part": range(PARTS), "body": [bundle([B.deltas(slot[i:j]), B.planes(times[i:j])]) for i, j in zip(cuts, cuts[1:])]})
+                yield pd.DataFrame({"part": range(PARTS), "body": [B.deltas(slot[i:j]) for i, j in zip(cuts, cuts[1:])]})
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros((1 << bits) // PARTS, np.uint32)
+        out = np.zeros((1 << bits) // PARTS, bool)
         base = int(frame.part.iloc[0]) * len(out)
         for raw in frame.body:
-            a, b = unbundle(raw)
-            at = B.undeltas(a).astype(np.int64) - base
-            if flags:
-                out[at] = 1
-            else:
-                np.add.at(out, at, B.unplanes(b, np.uint32))
-        return pd.DataFrame({"part": frame.part.iloc[:1], "body": [zstandard.compress((np.packbits(out.astype(bool), bitorder="little") if flags else out).tobytes(), 1)]})
-
-    table = np.zeros((1 << bits) // 8 if flags else 1 << bits, np.uint8 if flags else np.uint32)
+            out[B.undeltas(raw).astype(np.int64) - base] = True
+        return pd.DataFrame({"part": frame.part.iloc[:1], "body": [zstandard.compress(np.packbits(out, bitorder="little").tobytes(), 1)]})
+
+    table = np.zeros((1 << bits) // 8, np.uint8)
     for r in rows.mapInPandas(split, "part int, body binary").groupBy("part").applyInPandas(merge, "part int, body binary").collect():
         part = np.frombuffer(zstandard.decompress(bytes(r.body)), table.dtype)
         table[r.part * len(part) : (r.part + 1) * len(part)] = part
@@ -252,27 +275,27 @@ def train(trusted: DataFrame, n_buckets: int) -> tuple[Model, DataFrame]:
         order = np.argsort(keys, kind="stable")
         at, _ = grouped(keys[order])
         keys, n = keys[order][at], np.add.reduceat(n[order].astype(np.int64), at)
-        slot, times = np.unique((keys & np.uint64((1 << WORD_BITS) - 1)) >> np.uint64(WORD_BITS - SLOT_BITS), return_counts=True)
+        word, times = np.unique(word_of(keys), return_counts=True)
         u, sums = contexts(keys, n)
         split = np.isin(u, heavy)
         return pd.DataFrame({
             "bucket": frame.bucket.iloc[:1].astype("int32"),
             "counts": [bundle([*coded_keys(keys), B.planes(n.astype(np.uint32))])],
-            "slots": [bundle([B.deltas(slot), B.planes(times.astype(np.uint32))])],
-            "seen": [bundle([B.deltas(np.unique(u >> np.uint64(64 - WORD_BITS - SEEN_BITS)))])],
+            "words": [bundle([B.deltas(word.astype(np.uint64)), B.planes(times.astype(np.uint32))])],
+            "seen": [B.deltas(np.unique(u >> np.uint64(64 - WORD_BITS - SEEN_BITS)))],
             "n": [[int((n == i).sum()) for i in (1, 2, 3, 4)]],
             "totals": [bundle([u[split].tobytes(), sums[split].tobytes()])],
         })
 
-    counted = B.kept(trusted.mapInArrow(send, "bucket int, body binary").groupBy("bucket").applyInPandas(count, "bucket int, counts binary, slots binary, seen binary, n array<long>, totals binary"))
+    counted = B.kept(trusted.mapInArrow(send, "bucket int, body binary").groupBy("bucket").applyInPandas(count, "bucket int, counts binary, words binary, seen binary, n array<long>, totals binary"))
     n = counted.select(*[F.sum(F.col("n")[i]) for i in range(4)]).first()
-    slots = table_of(counted.select("slots"), SLOT_BITS, False)
-    seen = table_of(counted.select(F.col("seen").alias("slots")), SEEN_BITS, True)
+    words, times = summed(counted.select(F.col("words").alias("keys")), WORD_BITS)
+    seen = flags_of(counted.select(F.col("seen").alias("slots")), SEEN_BITS)
     totals = np.zeros((len(heavy), 4))
     for r in counted.select("totals").collect() if len(heavy) else []:  # fewer than 2 * SPLIT rows a bucket
         u, sums = unbundle(bytes(r.totals))
         totals[np.searchsorted(heavy, np.frombuffer(u, np.uint64))] += np.frombuffer(sums).reshape(-1, 4)
-    return Model([int(x or 0) for x in n], slots, seen, heavy, totals), counted.select("bucket", "counts")
+    return Model([int(x or 0) for x in n], words, times, seen, heavy, totals), counted.select("bucket", "counts")
 
 
 # ---------------------------------------------------------------- scoring
@@ -305,7 +328,7 @@ def log_probabilities(model: Model, counted: tuple[np.ndarray, np.ndarray, np.nd
     c = np.maximum(c - mine, 0)
     total = np.maximum(context[:, 0] - np.where(split, mine, of_history), 0)
     alone = (own & (c == 0)).astype(np.float64)
-    word = model.word(slot_of(keys), alone)
+    word = model.word(word_of(keys), alone)
     d = model.d
     spare = np.minimum(context[:, 1:] @ d[1:], context[:, 0])
     seen = total > 0
@@ -318,7 +341,7 @@ def log_probabilities(model: Model, counted: tuple[np.ndarray, np.ndarray, np.nd
 def scored(docs: DataFrame, model: Model, counted: DataFrame, n_buckets: int, keep: list[str]) -> DataFrame:
     """Rows with the columns `keep`, n_words and nll. docs: __text (binary), __own, and the columns to keep."""
     heavy = model.heavy
-    shared = docs.sparkSession.sparkContext.broadcast(model.parts)  # plain arrays: about 16 MB
+    shared = docs.sparkSession.sparkContext.broadcast(model.parts)  # plain arrays: 8 MB, and 8 bytes a word
     kept = docs.select("__text", F.col("__own").alias("__flag"), *[F.col(c) for c in keep])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,7 +356,7 @@ def scored(docs: DataFrame, model: Model, counted: DataFrame, n_buckets: int, ke
                     out.write_batch(extra)
                 common = Model(*shared.value)
                 far = common.maybe_seen(keys)
-                word = common.word(slot_of(keys[~far]), np.zeros(int((~far).sum())))
+                word = common.word(word_of(keys[~far]), np.zeros(int((~far).sum())))
                 near = np.bincount(doc[~far], -np.log(np.minimum(word, 1.0)), block.n)
                 head = zstandard.compress(bundle([sink.getvalue().to_pybytes(), words.astype(np.int64).tobytes(), near.tobytes()]), 1)
                 keys, doc = keys[far], doc[far]

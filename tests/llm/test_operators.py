@@ -372,6 +372,24 @@ def test_classifier(spark, docs, labels, monkeypatch):
     assert not any(r.kept for r in rows if not r.n_words)
 
 
+def test_classifier_knows_words_of_a_large_vocabulary(spark):
+    """Unseen words aren't taken for seen ones, neither by themselves nor after a history with many followers."""
+    import numpy as np
+
+    from itemloom.llm import blocks as B
+
+    def keys(name):
+        raw = " ".join(f"h {name}{i} g {name}{i}" for i in range(300_000)).encode()
+        return raw, lm.pairs(B.Block(np.arange(1), np.zeros(1, bool), np.array([len(raw)]), np.frombuffer(raw, np.uint8), b""))[0][1::4]
+
+    (text, seen), (_, unseen) = keys("s"), keys("u")
+    model, _ = lm.train(spark.createDataFrame([(bytearray(text),)], "text binary"), 4)
+    assert np.isin(unseen, seen).mean() < 0.002
+    least = model.low * model.some / (1 << lm.SLOT_BITS) / model.all
+    known, unknown = (model.word(lm.word_of(k), np.zeros(len(k))) > least * 1.01 for k in (seen, unseen))
+    assert known.mean() > 0.99 and unknown.mean() < 0.002
+
+
 def test_empty_tables(spark, docs, labels):
     none, path = docs.limit(0), tokenizer_path("word_bpe_49k.json")
     for got in (lm.classify(none, labels.limit(0)), jaccard.digest(none), media.digest(none), substring.digest(none), suffix.digest(none), suffix.cleaned(none), packing.digest(none, path), pieces.digest(none, tokenizer_path("piece_bpe_32k.model")), rules.digest(none, labels.limit(0)), lines.dedup(none)):
