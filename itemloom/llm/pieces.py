@@ -1,23 +1,24 @@
 """SentencePiece encoding and decoding with seeded merge-dropout.
 
 Merges of a BPE model are processed as an agenda: the adjacent pair whose union has the best score is
-merged, leftmost on ties, until none is left. A candidate is skipped if the draw of its place falls below the
-dropout rate; the draws are 64 parts of a digest of the unit keyed by seed and variant. So a text's
-segmentation varies with the seed and its variant (a keyed hash of its id), and is the same whenever it is
-computed again. Symbols
-that the model lacks become byte pieces, as does a literal U+2581, so every text decodes exactly.
+merged, leftmost on ties, until none is left. A candidate is skipped if its draw falls below the dropout rate;
+the draw is a hash of the seed, the document's id, the unit's number in the document, and the candidate's two
+spans. So each occurrence of a unit is split by draws of its own, and in the same way whenever it is computed
+again. Symbols that the model lacks become byte pieces, as does a literal U+2581, so every text decodes exactly.
 
 No merge crosses from a character to a following space, so texts are encoded unit by unit (spaces and
-what follows up to the next space), and a worker remembers units, lately seen ones longer; memory is bounded
-by twice CACHE units.
+what follows up to the next space). A worker remembers what doesn't depend on draws: each unit's candidates and
+result if none is skipped. An occurrence draws for these candidates at once; if one is skipped, its agenda
+is worked on. Units of more than LONG characters are always worked on. Memory is bounded by twice CACHE units.
 
-Defined results: null and empty texts have no ids and decode to the empty text; ids that are null are
-variant 0; repeated rows are encoded alike. There is no shuffle, and nothing depends on other rows.
+Defined results: null and empty texts have no ids and decode to the empty text; ids that are null have
+key 0; repeated rows are encoded alike. There is no shuffle, and nothing depends on other rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import sys
 import types
@@ -33,14 +34,31 @@ from itemloom.llm import blocks as B
 SPACE = "▁"
 #: A literal U+2581 while units are worked on; it cannot occur in decoded UTF-8.
 LITERAL = "\udc81"
-CACHE = 400_000
-VARIANTS = 4
+CACHE = 200_000
+#: Characters of a unit up to which it is remembered.
+LONG = 24
+ALL = (1 << 64) - 1
 RATE = 0.1
 SEED = 20_240_601
 
 
+def mixed(x: int) -> int:
+    """blocks.mixed of a plain number."""
+    x = (x ^ x >> 32) * B.MIX & ALL
+    return x ^ x >> 29
+
+
+def span_key(start: int, middle: int, end: int) -> int:
+    return mixed((mixed((mixed(start * B.BASE + 1 & ALL) + middle) * B.BASE & ALL) + end) * B.BASE & ALL)
+
+
+def own_key(number: int, key: int, seed: int) -> int:
+    """Of a unit's occurrence, by its number in the document."""
+    return mixed(number * B.BASE + mixed((key ^ mixed(seed & ALL)) & ALL) & ALL)
+
+
 def codec(path: str, rate: float, seed: int) -> tuple[Callable[[str, int], bytes], Callable[[bytes], bytes]]:
-    """encode(text, variant) to packed ids (little-endian 32 bits), and decode(ids) to UTF-8 bytes."""
+    """encode(text, key of the document) to packed ids (little-endian 32 bits), and decode(ids) to UTF-8 bytes."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -51,7 +69,11 @@ def codec(path: str, rate: float, seed: int) -> tuple[Callable[[str, int], bytes
     texts = [bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) or model.is_unknown(i) else model.id_to_piece(i).replace(SPACE, " ").encode() for i in range(n)]
     if any(SPACE in p.lstrip(SPACE) for p in ids):
         raise ValueError("pieces with inner spaces aren't supported")
-    below = int(rate * (1 << 16))
+    below = int(rate * (1 << 32))
+    width = LONG + 1
+    step = width * width + width + 1
+    table = [span_key(i, j, k) if i < j < k else 0 for i in range(width) for j in range(width) for k in range(width)]
+    keys = np.array(table, np.uint64)
     none = len(ids) + 1
     best_first = sorted(ids, key=lambda p: -scores[p])
     ranks = {p: i for i, p in enumerate(best_first)}
@@ -59,21 +81,53 @@ def codec(path: str, rate: float, seed: int) -> tuple[Callable[[str, int], bytes
         place: dict[float, int] = {}
         ranks = {p: place.setdefault(scores[p], i) for i, p in enumerate(best_first)}
 
-    def segments(unit: str, variant: int) -> list[str]:
-        symbols = list(unit)
-        starts = list(range(len(symbols) + 1))
-        draws = hashlib.blake2b(unit.encode("utf-8", "surrogatepass"), key=b"%d/%d" % (seed, variant)).digest() if below else b""
+    def segments(unit: str, skips: Callable[[int, int, int], bool]) -> list[str]:
+        n = len(unit)
+        symbols: list[str] = list(unit)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # a symbol is known by its start
+        agenda: list[tuple[int, int, int, int]] = []
+
+        def propose(i: int) -> None:
+            j = after[i]
+            if j < n:
+                r = ranks.get(symbols[i] + symbols[j], none)
+                if r != none and not skips(i, j, after[j]):
+                    heapq.heappush(agenda, (r, i, j, after[j]))
+
+        for i in range(n - 1):
+            propose(i)
+        while agenda:
+            _, i, j, k = heapq.heappop(agenda)
+            if not symbols[i] or after[i] != j or not symbols[j] or after[j] != k:
+                continue  # one of the two has been merged since
+            symbols[i] += symbols[j]
+            symbols[j] = ""
+            after[i] = k
+            if k < n:
+                before[k] = i
+            if before[i] >= 0:
+                propose(before[i])
+            propose(i)
+        return [x for x in symbols if x]
+
+    coded = {p: i.to_bytes(4, "little") for p, i in ids.items()}
+
+    def packed(symbols: list[str]) -> bytes:
+        return b"".join([coded[s] if s in coded else b"".join(of_byte[b].to_bytes(4, "little") for b in (SPACE if s == LITERAL else s).encode()) for s in symbols])
+
+    def short(unit: str, agenda: list[int], own: int) -> list[str]:
+        """segments() of a short unit, from its first agenda, in which what is skipped is `none`."""
+        symbols, starts = list(unit), list(range(len(unit) + 1))
 
         def rank(i: int) -> int:
-            """Of the candidate that joins symbols i and i + 1; `none` if there is none, or it is skipped."""
             r = ranks.get(symbols[i] + symbols[i + 1], none)
-            if below and r != none:
-                at = 5 * starts[i] + 11 * starts[i + 1] + 19 * starts[i + 2] & 63
-                if draws[at] << 8 | draws[at - 31] < below:
+            if r != none:
+                x = table[(starts[i] * width + starts[i + 1]) * width + starts[i + 2]] ^ own
+                x = (x ^ x >> 32) * B.MIX & ALL
+                if (x ^ x >> 29) >> 32 < below:
                     return none
             return r
 
-        agenda = [rank(i) for i in range(len(symbols) - 1)]
         while agenda:
             best = min(agenda)
             if best == none:
@@ -87,36 +141,63 @@ def codec(path: str, rate: float, seed: int) -> tuple[Callable[[str, int], bytes
                 agenda[at] = rank(at)
         return symbols
 
-    def unit_ids(unit: str, variant: int) -> bytes:
-        out: list[int] = []
-        for s in segments(unit, variant):
-            if s in ids:
-                out.append(ids[s])
-            else:
-                out += [of_byte[b] for b in (SPACE if s == LITERAL else s).encode()]
-        return np.array(out, "<u4").tobytes()
+    def learnt(unit: str) -> tuple[bytes, bytes]:
+        """Candidates (16 bits each) in the order in which they come up if none is skipped, and the result."""
+        found: list[int] = []
+
+        def skips(i: int, j: int, k: int) -> bool:
+            found.append((i * width + j) * width + k)
+            return False
 
-    # What a worker has learnt serves its later tasks as well: units of each variant, in a new and an old half.
+        symbols = segments(unit, skips)
+        return np.array(found, np.uint16).tobytes(), packed(symbols)
+
+    # What a worker has learnt serves its later tasks as well, in a new and an old half.
     state = sys.modules.setdefault("itemloom_pieces", types.ModuleType("itemloom_pieces")).__dict__
     if state.get("of") != (path, rate, seed):
         state.update({"of": (path, rate, seed), "new": {}, "old": {}})
     split = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
-    def encode(text: str, variant: int) -> bytes:
+    def long_ids(unit: str, own: int) -> bytes:
+        return packed(segments(unit, lambda *c: mixed(span_key(*c) ^ own) >> 32 < below))
+
+    def encode(text: str, key: int) -> bytes:
         if not text:
             return b""
-        new = state["new"].setdefault(variant, {})
-        if len(new) > CACHE // VARIANTS:
-            state["old"][variant] = new
-            new = state["new"][variant] = {}
-        old = state["old"].get(variant, {})
         text = text.replace(SPACE, LITERAL)
         units = text.split(" ")
         if "" in units:  # units without their first space
             units = [u[1:] for u in split.findall(SPACE + text.replace(" ", SPACE))]
+        owns = B.mixed(np.arange(len(units), dtype=np.uint64) * np.uint64(B.BASE) + np.uint64(mixed((key ^ mixed(seed & ALL)) & ALL)))
+        own_keys = owns.tolist()
+        if len(state["new"]) > CACHE:
+            state["old"], state["new"] = state["new"], {}
+        new, old = state["new"], state["old"]
         for u in set(units).difference(new):
-            new[u] = old[u] if u in old else unit_ids(SPACE + u, variant)
-        return b"".join(map(new.__getitem__, units))
+            if len(u) < LONG:
+                new[u] = old[u] if u in old else learnt(SPACE + u)
+        out: list[bytes] = [b""] * len(units)
+        number = []
+        for i, u in enumerate(units):
+            if len(u) >= LONG:
+                out[i] = long_ids(SPACE + u, own_keys[i])
+            else:
+                number.append(i)
+                out[i] = new[u][1]
+        for a in range(0, len(number) if below else 0, 1 << 16):
+            at = number[a : a + (1 << 16)]
+            spans = [new[units[i]][0] for i in at]
+            n = np.array([len(x) for x in spans]) // 2
+            every = np.frombuffer(b"".join(spans), np.uint16)
+            hits = np.flatnonzero(B.mixed(keys[every] ^ np.repeat(owns[at], n)) >> np.uint64(32) < np.uint64(below))
+            skipped: dict[int, set[int]] = {}
+            for k, c in zip(np.searchsorted(np.cumsum(n), hits, "right").tolist(), every[hits].tolist()):
+                skipped.setdefault(k, set()).add(c)
+            for k, gone in skipped.items():
+                unit = SPACE + units[at[k]]
+                agenda = [none if i * step + width + 2 in gone else ranks.get(unit[i : i + 2], none) for i in range(len(unit) - 1)]
+                out[at[k]] = packed(short(unit, agenda, own_keys[at[k]]))
+        return b"".join(out)
 
     def decode(raw: bytes) -> bytes:
         return b"".join(map(texts.__getitem__, np.frombuffer(raw, "<u4").tolist()))[1:]
@@ -124,21 +205,22 @@ def codec(path: str, rate: float, seed: int) -> tuple[Callable[[str, int], bytes
     return encode, decode
 
 
-def variant_of(i: object, seed: int) -> int:
-    return 0 if i is None else int.from_bytes(hashlib.blake2b(str(i).encode(), digest_size=4, key=b"%d" % seed).digest(), "little") % VARIANTS
+def key_of(i: object, seed: int) -> int:
+    """Of a document, by its id: a signed 64-bit hash."""
+    return 0 if i is None else int.from_bytes(hashlib.blake2b(str(i).encode(), digest_size=8, key=b"%d" % seed).digest(), "little", signed=True)
 
 
 def encode(docs: DataFrame, model: str, rate: float = RATE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, variant, n_bytes, ids (packed, little-endian 32 bits)."""
+    """One row per document: id, variant (the key of its draws), n_bytes, ids (packed, little-endian 32 bits)."""
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         to_ids = codec(model, rate, seed)[0]
         for i, text in rows:
-            v = variant_of(i, seed)
+            v = key_of(i, seed)
             yield i, v, len((text or "").encode()), to_ids(text or "", v)
 
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    return B.map_rows(chosen, run, f"id {dict(docs.dtypes)[id_col]}, variant int, n_bytes long, ids binary").withColumnRenamed("id", id_col)
+    return B.map_rows(chosen, run, f"id {dict(docs.dtypes)[id_col]}, variant long, n_bytes long, ids binary").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:

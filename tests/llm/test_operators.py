@@ -243,6 +243,51 @@ def test_pieces_without_dropout_are_the_librarys():
     assert varied > 5 and decode(encode("a▁b ▁", 0)) == "a▁b ▁".encode()
 
 
+def plain_segments(model, unit, skips):
+    """The agenda by definition: the best candidate of all, the leftmost on ties, until none is left."""
+    scores = {model.id_to_piece(i): model.get_score(i) for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
+    cuts = list(range(len(unit) + 1))
+    while True:
+        found = [(-scores[unit[a:c]], a, b, c) for a, b, c in zip(cuts, cuts[1:], cuts[2:]) if unit[a:c] in scores and not skips(a, b, c)]
+        if not found:
+            return [unit[a:b] for a, b in zip(cuts, cuts[1:])]
+        cuts.remove(min(found)[2])
+
+
+def test_pieces_draw_for_each_occurrence():
+    import numpy as np
+    import sentencepiece
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    drop, decode = pieces.codec(path, 0.3, 1)
+
+    def split(text, key):
+        out = [[]]
+        for i in np.frombuffer(drop(text, key), "<u4").tolist():
+            if model.id_to_piece(i).startswith(pieces.SPACE) and out[-1]:
+                out.append([])
+            out[-1].append(i)
+        return [tuple(x) for x in out]
+
+    one = split("internationalization " * 300, 5)
+    assert len(one) >= 300 and len(set(one)) > 30  # one document's occurrences
+    assert len({split("understanding", k)[0] for k in range(200)}) > 8  # documents
+    # A long unit's skips have no period.
+    long = np.frombuffer(drop("abcdefgh" * 64, 3), "<u4").tolist()
+    lengths = [len(model.id_to_piece(i)) for i in long]
+    marks = set(np.cumsum(lengths).tolist())
+    assert any((x + 64 in marks) != (x in marks) for x in range(1, 400))
+    # The result is that of the agenda with these draws.
+    text = "the understanding of internationalization and " + "reconstruction" * 3 + " everywhere understanding"
+    for key in range(40):
+        want = []
+        for i, u in enumerate(text.split(" ")):
+            own = pieces.own_key(i, key, 1)
+            want += [model.piece_to_id(x) for x in plain_segments(model, pieces.SPACE + u, lambda *c: pieces.mixed(pieces.span_key(*c) ^ own) >> 32 < int(0.3 * (1 << 32)))]
+        assert np.frombuffer(drop(text, key), "<u4").tolist() == want and decode(drop(text, key)) == text.encode()
+
+
 def test_rules(docs, labels):
     want = []
     for r in corpus():
