@@ -260,14 +260,20 @@ def pixels(data: bytes, order: str, fields: dict[int, list[int]]) -> np.ndarray:
         return summed(x) if predictor == 2 else x
 
     out = np.empty((height, width, samples), dtype.newbyteorder("="))
+    def covered(offsets: int, counts: int, need: int) -> None:
+        if min(len(fields[offsets]), len(fields[counts])) < need:
+            raise ValueError("the strips or tiles don't cover the page")
+
     if TILE_OFFSETS in fields:
         tw, th = one(TILE_WIDTH), one(TILE_HEIGHT)
         across = -(-width // tw)
+        covered(TILE_OFFSETS, TILE_COUNTS, across * -(-height // th))
         for i, (offset, count) in enumerate(zip(fields[TILE_OFFSETS], fields[TILE_COUNTS])):
             r, c = i // across * th, i % across * tw
             out[r : r + th, c : c + tw] = part(offset, count, th, tw)[: height - r, : width - c]
     else:
         per = min(one(ROWS_PER_STRIP, height), height)
+        covered(STRIP_OFFSETS, STRIP_COUNTS, -(-height // per) if per else 0)
         for i, (offset, count) in enumerate(zip(fields[STRIP_OFFSETS], fields[STRIP_COUNTS])):
             rows = min(per, height - i * per)
             out[i * per : i * per + rows] = part(offset, count, rows, width)

@@ -174,6 +174,18 @@ def test_media_codecs_and_pages(spark):
     assert [r.page for r in rows if r.error is None] == [0, 1] and sum(r.error is not None for r in rows) == 2
 
 
+@pytest.mark.parametrize("tile", [None, (16, 32)])
+def test_media_pages_are_covered(tile):
+    import numpy as np
+
+    raw = media.written([media.Page(np.ones((300, 50), np.uint8), media.DEFLATE, 1, tile)])
+    ((order, fields),) = media.directories(raw)
+    offsets, counts = (media.TILE_OFFSETS, media.TILE_COUNTS) if tile else (media.STRIP_OFFSETS, media.STRIP_COUNTS)
+    assert media.pixels(raw, order, fields).shape == (300, 50, 1)
+    with pytest.raises(ValueError, match="cover"):
+        media.pixels(raw, order, {**fields, offsets: fields[offsets][:-1], counts: fields[counts][:-1]})
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
