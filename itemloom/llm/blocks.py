@@ -1,16 +1,21 @@
 """Blocks of whole documents, and exchanges of sorted hashes between them.
 
-A block is a run of documents in id order, held as one compressed row. Operators that compare every
+A block is a run of documents, in order of their ids, held as one compressed row. Operators that compare every
 window of every text with every other text work on blocks: a block sends its distinct window hashes,
 sorted and delta-coded, to hash buckets; a bucket answers each block with a few bits per hash. So a
-window costs about six bytes of shuffle rather than a row, a frequent window is sent once per block
+window costs a few bytes of shuffle rather than a row, a frequent window is sent once per block
 however often it occurs, and no bucket ever holds more than one entry per block and hash.
 
+Blocks are cut by size alone: equal and null ids may span any number of them, and their order means nothing.
+A block is known by `uid` (partition and number), so blocks are stored before they are worked on.
+
 Null ids order before all others (as the smallest id); null texts are kept apart from empty ones.
 """
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -19,12 +24,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Text bytes of a block. About six times as much memory is used while a block is worked on.
-BLOCK_BYTES = 8 << 20
+#: Text bytes of a block, unless one text is longer. 15 to 30 times as much memory is used while a block is worked on.
+BLOCK_BYTES = 4 << 20
+#: Text bytes of a bucket, on average, if there would otherwise be more: there are as many more buckets.
+BUCKET_BYTES = 64 << 20
+#: Bits by which a hash that only screens is longer than the number of bytes of all texts.
+SCREEN_BITS = 8
 NO_ID = -(1 << 63)
 #: Compression of blocks, which are stored once and moved once.
 LEVEL = 3
@@ -33,7 +43,15 @@ BASE = 0x9E3779B97F4A7C15
 MIX = 0xD6E8FEB86659FD93
 #: Fixed words of the contracts are separated by these bytes: space, and tab to carriage return.
 SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
-BLOCK_SCHEMA = "lo long, hi long, n_docs long, body binary"
+BLOCK_SCHEMA = "uid long, n_docs long, n_bytes long, body binary"
+#: Documents of a block, and blocks of a partition: both have 22 bits, and partitions 19, in the numbers of rows.
+MANY = 22
+
+# Large arrays go back to the system as soon as they are freed, rather than stay with a worker that waits.
+try:
+    ctypes.CDLL(None).mallopt(-3, 1 << 20)
+except (OSError, AttributeError):
+    pass
 
 
 # ---------------------------------------------------------------- hashing
@@ -161,20 +179,31 @@ def unpacked(body: bytes) -> Block:
 def _packer(target: int, carries: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size, last = 0, None
+        size = 0
+        uid = TaskContext.get().partitionId() << MANY
 
         def flush() -> pa.RecordBatch:
-            ids = np.concatenate([h[0] for h in held])
+            nonlocal uid, size
+            ids, null, lens = (np.concatenate([h[i] for h in held]) for i in range(3))
+            parts, rest = [h[3] for h in held], None
+            if carries:
+                rest = pa.Table.from_batches([h[4] for h in held])
+            if (ids[1:] < ids[:-1]).any():
+                order = np.argsort(ids, kind="stable")
+                whole, ends = b"".join(parts), np.cumsum(lens)
+                parts = [whole[ends[i] - lens[i] : ends[i]] for i in order]
+                ids, null, lens = ids[order], null[order], lens[order]
+                rest = rest.take(pa.array(order)) if carries else None
             extra = b""
             if carries:
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, held[0][4].schema) as out:
-                    for h in held:
-                        out.write_batch(h[4])
+                with pa.ipc.new_stream(sink, rest.schema) as out:
+                    out.write_table(rest.combine_chunks())
                 extra = sink.getvalue().to_pybytes()
-            body = packed(ids, np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]), [h[3] for h in held], extra)
+            body = packed(ids, null, lens, parts, extra)
             held.clear()
-            return pa.record_batch([pa.array([ids[0]]), pa.array([ids[-1]]), pa.array([len(ids)]), pa.array([body], pa.binary())], names=["lo", "hi", "n_docs", "body"])
+            uid, size = uid + 1, 0
+            return pa.record_batch([pa.array([uid - 1]), pa.array([len(ids)]), pa.array([int(lens.sum())]), pa.array([body], pa.binary())], names=["uid", "n_docs", "n_bytes", "body"])
 
         for batch in batches:
             n = batch.num_rows
@@ -189,51 +218,33 @@ def _packer(target: int, carries: bool):
             rest = batch.select(range(2, batch.num_columns)) if carries else None
             at = 0
             while at < n:
-                if size >= target and ids[at] != last:
-                    yield flush()
-                    size = 0
-                if size >= target:  # equal ids stay in one block
-                    end = at + int(np.argmax(np.append(ids[at:] != last, True)))
-                else:
-                    end = min(n, max(at + 1, int(np.searchsorted(offsets, offsets[at] + target - size))))
+                end = min(n, max(at + 1, int(np.searchsorted(offsets, offsets[at] + target - size))))
                 lens = np.diff(offsets[at : end + 1])
                 part = bytes(memoryview(data)[offsets[at] : offsets[end]]) if data is not None and offsets[end] > offsets[at] else b""
                 held.append((ids[at:end], null[at:end], lens, part, rest.slice(at, end - at) if carries else None))
-                size += len(part) + 1
-                last, at = ids[end - 1], end
+                size += len(part) + 16 * (end - at)
+                at = end
+                if size >= target:
+                    yield flush()
         if held:
             yield flush()
 
     return run
 
 
-def plain_scan(df: DataFrame) -> bool:
-    """Whether df only reads, filters and projects stored files, so that its partitions are the same each time."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return all(line.lstrip(" :+-").split(" ")[0].split("(")[0] in ("Relation", "Project", "Filter") for line in plan.splitlines() if line.strip())
-
-
-def in_id_order(docs: DataFrame, id_col: str) -> DataFrame:
-    """docs with partitions of disjoint id ranges, each in order; files that are so already aren't shuffled.
-
-    Only one pair of ids a partition comes to the driver.
-    """
-    if plain_scan(docs):
-        key = F.coalesce(F.col(id_col), F.lit(NO_ID))
-        ends = docs.select(F.spark_partition_id().alias("p"), key.alias("k")).groupBy("p").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).collect()
-        ends = sorted((r.lo, r.hi) for r in ends)
-        if all(a[1] < b[0] for a, b in zip(ends, ends[1:])):
-            return docs.sortWithinPartitions(id_col)
-    return docs.repartitionByRange(id_col).sortWithinPartitions(id_col)
-
-
-def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[Column] | None = None, ordered: bool = True, size: int = BLOCK_BYTES) -> DataFrame:
-    """Rows (lo, hi, n_docs, body). ordered: the blocks' id ranges are disjoint, with equal ids in one block."""
+def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[Column] | None = None, size: int = BLOCK_BYTES) -> DataFrame:
+    """Rows (uid, n_docs, n_bytes, body); to be stored before anything depends on a uid."""
     chosen = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("binary").alias("__text"), *(carry or []))
-    chosen = in_id_order(chosen, "__id") if ordered else chosen
     return chosen.mapInArrow(_packer(size, bool(carry)), BLOCK_SCHEMA)
 
 
+def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[Column] | None = None, size: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+    """The blocks, computed once and kept, and the bytes of all texts."""
+    seen = Observation()
+    rows = kept(blocks(docs, id_col, text_col, carry, size).observe(seen, F.sum("n_bytes").alias("bytes")))
+    return rows, int(seen.get["bytes"] or 0)
+
+
 def shared_dir(spark: SparkSession) -> None:
     """Make sure that checkpoints have a folder: the cluster's, or in local runs without one a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -244,11 +255,30 @@ def shared_dir(spark: SparkSession) -> None:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df, computed once and stored in the shared folder; its files go when nothing refers to them."""
+    """df, computed once and stored in the shared folder. Shuffle files of what came before, if nothing needs it any more, go first."""
     shared_dir(df.sparkSession)
+    release(df.sparkSession)
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark's cleaner drop the files of frames that are gone, rather than when the driver happens to collect its garbage.
+
+    With spark.cleaner.referenceTracking.cleanCheckpoints these are their checkpoints as well.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def beside(docs: DataFrame, **more: Column) -> DataFrame:
+    """Rows (row, and what `more` names): docs' rows as one struct each, whatever their columns' names."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(name) for name, c in more.items()])
+
+
+def unpacked_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*[F.col(f"row.`{c}`") for c in columns])
+
+
 def map_rows(df: DataFrame, of: Callable[[Iterator[tuple]], Iterator[tuple]], ddl: str) -> DataFrame:
     """mapInArrow on plain tuples, of() sees all of a partition: exact integers beside nulls, batches of bounded size."""
     schema = to_arrow_schema(df.sparkSession.createDataFrame([], ddl).schema)
@@ -279,8 +309,17 @@ def map_rows(df: DataFrame, of: Callable[[Iterator[tuple]], Iterator[tuple]], dd
 # ---------------------------------------------------------------- hash exchange
 
 
-def bucket_count(spark: SparkSession) -> int:
-    return max(1, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+def bucket_count(spark: SparkSession, n_bytes: int = 0) -> int:
+    return max(1, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // BUCKET_BYTES))
+
+
+def screening_bits(n_bytes: int) -> int:
+    """Of hashes that only screen: so many that of 2**SCREEN_BITS unlike ones at most about one is equal to another by chance."""
+    return min(64, max(32, n_bytes.bit_length() + SCREEN_BITS))
+
+
+def top_bits(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return hashes & np.uint64((1 << 64) - (1 << 64 - bits))
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -314,21 +353,22 @@ def bucketed(hashes: np.ndarray, n: int) -> list[tuple[int, int, int]]:
     return [(i, int(a), int(b)) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
 
 
-def sent(block_rows: DataFrame, hashes_of, n: int) -> DataFrame:
-    """Rows (bucket, lo, hashes): what hashes_of(Block) gives of each block, a sorted array without repeats."""
+def sent(block_rows: DataFrame, hashes_of, n: int, bits: int = 64) -> DataFrame:
+    """Rows (bucket, uid, hashes): the upper bits of what hashes_of(Block) gives of each block, without repeats."""
+    low = np.uint64(64 - bits)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for lo, body in zip(frame.lo, frame.body):
-                h = hashes_of(unpacked(body))
+            for uid, body in zip(frame.uid, frame.body):
+                h = np.unique(top_bits(hashes_of(unpacked(body)), bits))
                 parts = bucketed(h, n)
-                yield pd.DataFrame({"bucket": np.array([p[0] for p in parts], np.int32), "lo": np.full(len(parts), lo, np.int64), "hashes": [deltas(h[a:b]) for _, a, b in parts]})
+                yield pd.DataFrame({"bucket": np.array([p[0] for p in parts], np.int32), "uid": np.full(len(parts), uid, np.int64), "hashes": [deltas(h[a:b] >> low) for _, a, b in parts]})
 
-    return block_rows.select("lo", "body").mapInPandas(run, "bucket int, lo long, hashes binary")
+    return block_rows.select("uid", "body").mapInPandas(run, "bucket int, uid long, hashes binary")
 
 
-def merged(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """A bucket's hashes in order of (hash, lo), the index of each one's row, and each row's places in that order; frame is in order of lo."""
+def merged(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A bucket's hashes in order, the row of each, and each one's place in the rows, one behind the other."""
     lists = [undeltas(x) for x in frame.hashes]
     every = np.concatenate(lists)
     row = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
@@ -343,18 +383,30 @@ def flags_joined(frame: pd.DataFrame, n: int) -> np.ndarray:
     return np.concatenate([np.frombuffer(zstandard.decompress(x), np.uint8) for x in frame.sort_values("bucket")["flags"]])
 
 
+def shared_elsewhere(h: np.ndarray, frame: pd.DataFrame, bits: int) -> np.ndarray:
+    """Of a block's hashes, the answers to their upper bits."""
+    if not len(h):
+        return np.zeros(0, np.uint8)
+    distinct, back = np.unique(top_bits(h, bits), return_inverse=True)
+    return flags_joined(frame, len(distinct))[back]
+
+
 def answered(rows: DataFrame, judge) -> DataFrame:
-    """Rows (lo, bucket, flags): judge(sorted hashes, row of each, first of its group, group of each) gives a byte for each of a bucket's hashes."""
+    """Rows (uid, bucket, flags): judge(row of each hash, group of equal hashes) gives a byte for each of a bucket's hashes, in order."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("lo", ignore_index=True)
         h, row, order = merged(frame)
         first = np.ones(len(h), bool)
         first[1:] = h[1:] != h[:-1]
         flags = np.empty(len(h), np.uint8)
-        flags[order] = judge(h, row, first, np.cumsum(first) - 1)
+        flags[order] = judge(row, np.cumsum(first) - 1)
         sizes = np.bincount(row, minlength=len(frame))
         parts = np.split(flags, np.cumsum(sizes)[:-1])
-        return pd.DataFrame({"lo": frame.lo, "bucket": frame.bucket.astype("int32"), "flags": [zstandard.compress(p.tobytes(), 1) for p in parts]})
+        return pd.DataFrame({"uid": frame.uid, "bucket": frame.bucket.astype("int32"), "flags": [zstandard.compress(p.tobytes(), 1) for p in parts]})
+
+    return rows.groupBy("bucket").applyInPandas(run, "uid long, bucket int, flags binary")
+
 
-    return rows.groupBy("bucket").applyInPandas(run, "lo long, bucket int, flags binary")
+def in_several(row: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Whether each hash is in more than one block: blocks send each of theirs once."""
+    return (np.bincount(group) > 1)[group]

@@ -18,11 +18,13 @@ table has no pieces. Padding is what a sequence lacks to the window; a power of
 from __future__ import annotations
 
 import heapq
+import json
 import operator
 import os
 import re
 import sys
 import types
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -32,6 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from itemloom.llm import agenda
 from itemloom.llm import blocks as B
 
 WINDOW = 2048
@@ -101,43 +104,57 @@ def cut(n: int, window: int) -> list[tuple[int, int]]:
     return out + [(at, rest)] * (rest > 0)
 
 
+def byte_symbols() -> list[str]:
+    """The characters by which byte-level vocabularies write the bytes: printable ones stand for themselves, the others follow from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+    return [chr(others.get(b, b)) for b in range(256)]
+
+
 def word_ids(path: str, cache: int = CACHE) -> Callable[[list[str]], list[bytes]]:
     """A function from texts to their ids (little-endian 32 bits), for tokenizers whose pre-tokens never span white space.
 
     Words are encoded once: a word of letters and ASCII marks behind them is the ids of both, and letters
-    count in lower case where they are ASCII. Such parts are one pre-token each, so many are encoded in one
-    string and told apart by the ids that end a word. Anything else goes to the tokenizer as it is.
+    count in lower case where they are ASCII. Such parts are one pre-token each; the merges of many are worked on
+    beside each other (`agenda`). Anything else goes to the tokenizer as it is.
     """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one core a task
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    vocabulary = tokenizer.get_vocab()
-    ends = np.zeros(max(vocabulary.values()) + 1, bool)
-    ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-    plain = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
     # What a worker has learnt serves its later tasks as well. Words seen lately outlive the others: they move
     # from the old half to the new one when they are met again.
     state = sys.modules.setdefault("itemloom_word_ids", types.ModuleType("itemloom_word_ids")).__dict__
     if state.get("of") != path:
-        state.update({"of": path, "words": {}, "old": {}, "parts": {}})
+        tokenizer = Tokenizer.from_file(path)
+        model = json.loads(tokenizer.to_str())["model"]
+        vocabulary, end = model["vocab"], model["end_of_word_suffix"]
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        found = [(vocabulary[x], vocabulary[y], i, vocabulary[x + y]) for i, (x, y) in enumerate(merges)]
+        count = max(vocabulary.values()) + 1
+        inner, last = (np.array([vocabulary.get(c + x, count) for c in byte_symbols()], np.int32) for x in ("", end))
+        pairs = agenda.Pairs(*np.array(found, np.int64).reshape(-1, 4).T, count)
+        state.update({"of": path, "tokenizer": tokenizer, "agenda": agenda.Agenda(pairs), "inner": inner, "last": last, "words": {}, "old": {}, "parts": {}})
+    tokenizer, work, inner, last = (state[k] for k in ("tokenizer", "agenda", "inner", "last"))
+    plain = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
     parts: dict[str, bytes] = state["parts"]
 
-    def ids_of(texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def ids_of(texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn_parts(new: list[str]) -> None:
-        for a in range(0, len(new), 1000):
-            some = new[a : a + 1000]
-            ids = ids_of([" ".join(some)])[0]
-            cuts = ((np.flatnonzero(ends[ids]) + 1) * 4).tolist()
-            if len(cuts) == len(some):
-                raw, at = ids.tobytes(), 0
-                for part, to in zip(some, cuts):
-                    parts[part] = raw[at:to]
-                    at = to
-            else:
-                parts.update((part, x.tobytes()) for part, x in zip(some, ids_of(some)))
+        for a in range(0, len(new), 1 << 16):
+            some = new[a : a + (1 << 16)]
+            data = np.frombuffer("\0".join([*some, ""]).encode(), np.uint8)  # parts have letters or marks only
+            breaks = np.flatnonzero(data == 0)
+            symbols = inner[data]
+            symbols[breaks - 1] = last[data[breaks - 1]]
+            symbols = np.delete(symbols, breaks)
+            starts = np.append(0, breaks[:-1] + 1) - np.arange(len(breaks))
+            work.settle(symbols, starts)
+            at = np.flatnonzero(symbols >= 0)
+            raw = symbols[at].astype("<u4").tobytes()
+            cuts = (4 * np.searchsorted(at, np.append(starts, len(symbols)))).tolist()
+            parts.update(zip(some, [raw[i:j] for i, j in zip(cuts, cuts[1:])]))
 
     def learn(new: set[str], words: dict[str, bytes]) -> None:
         if len(parts) > cache:
@@ -152,9 +169,12 @@ def word_ids(path: str, cache: int = CACHE) -> Callable[[list[str]], list[bytes]
                 letters, marks = m.groups()
                 if letters.isascii():
                     letters = letters.lower()
-                elif not (letters.isalpha() and letters.lower().isalpha()):
-                    rest.append(w)
-                    continue
+                else:
+                    given, letters = letters, letters.lower()
+                    simple = given.isalpha() and letters.isalpha() and not {"\u03a3", "\u0130"} & set(given)  # these lower by what stands around them
+                    if not (simple and unicodedata.is_normalized("NFC", given) and unicodedata.is_normalized("NFC", letters)):
+                        rest.append(w)
+                        continue
                 whole.append(w)
                 heads.append(letters)
                 tails.append(marks)
@@ -163,7 +183,7 @@ def word_ids(path: str, cache: int = CACHE) -> Callable[[list[str]], list[bytes]
         learn_parts(list(set(heads).union(tails).difference(parts, ("",))))
         parts[""] = b""
         words.update(zip(whole, map(operator.add, map(parts.__getitem__, heads), map(parts.__getitem__, tails))))
-        words.update((w, x.tobytes()) for w, x in zip(rest, ids_of(rest)))
+        words.update(zip(rest, ids_of(rest)))
 
     def encode(texts: list[str]) -> list[bytes]:
         own = [t.replace("\n", " ").split(" ") for t in texts]

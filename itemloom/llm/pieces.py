@@ -7,19 +7,18 @@ spans. So each occurrence of a unit is split by draws of its own, and in the sam
 again. Symbols that the model lacks become byte pieces, as does a literal U+2581, so every text decodes exactly.
 
 No merge crosses from a character to a following space, so texts are encoded unit by unit (spaces and
-what follows up to the next space). A worker remembers what doesn't depend on draws: each unit's candidates and
-result if none is skipped. An occurrence draws for these candidates at once; if one is skipped, its agenda
-is worked on. Units of more than LONG characters are always worked on. Memory is bounded by twice CACHE units.
+what follows up to the next space): many units beside each other (`agenda`), long ones by a heap. Nothing is
+remembered between texts. Texts are worked on BATCH characters at a time, a longer one alone, so memory is
+bounded by some 60 bytes a character of these.
 
 Defined results: null and empty texts have no ids and decode to the empty text; ids that are null have
-key 0; repeated rows are encoded alike. There is no shuffle, and nothing depends on other rows.
+key 0; repeated rows are encoded alike; an empty table has no rows, and columns beside id and text play no part.
+There is no shuffle, and nothing depends on other rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
-import re
 import sys
 import types
 import zlib
@@ -29,180 +28,105 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from itemloom.llm import agenda
 from itemloom.llm import blocks as B
 
 SPACE = "▁"
-#: A literal U+2581 while units are worked on; it cannot occur in decoded UTF-8.
-LITERAL = "\udc81"
-CACHE = 200_000
-#: Characters of a unit up to which it is remembered.
-LONG = 24
-ALL = (1 << 64) - 1
 RATE = 0.1
 SEED = 20_240_601
+BATCH = 1 << 19
+CODE_POINTS = 0x110000
 
 
-def mixed(x: int) -> int:
-    """blocks.mixed of a plain number."""
-    x = (x ^ x >> 32) * B.MIX & ALL
-    return x ^ x >> 29
-
-
-def span_key(start: int, middle: int, end: int) -> int:
-    return mixed((mixed((mixed(start * B.BASE + 1 & ALL) + middle) * B.BASE & ALL) + end) * B.BASE & ALL)
+def document_key(key: int, seed: int) -> int:
+    return agenda.mixed((key ^ agenda.mixed(seed & agenda.ALL)) & agenda.ALL)
 
 
 def own_key(number: int, key: int, seed: int) -> int:
     """Of a unit's occurrence, by its number in the document."""
-    return mixed(number * B.BASE + mixed((key ^ mixed(seed & ALL)) & ALL) & ALL)
-
-
-def codec(path: str, rate: float, seed: int) -> tuple[Callable[[str, int], bytes], Callable[[bytes], bytes]]:
-    """encode(text, key of the document) to packed ids (little-endian 32 bits), and decode(ids) to UTF-8 bytes."""
-    import sentencepiece
-
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    n = model.get_piece_size()
-    ids = {model.id_to_piece(i): i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
-    scores = {p: model.get_score(i) for p, i in ids.items()}
-    of_byte = {int(model.id_to_piece(i)[3:5], 16): i for i in range(n) if model.is_byte(i)}
-    texts = [bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) or model.is_unknown(i) else model.id_to_piece(i).replace(SPACE, " ").encode() for i in range(n)]
-    if any(SPACE in p.lstrip(SPACE) for p in ids):
-        raise ValueError("pieces with inner spaces aren't supported")
-    below = int(rate * (1 << 32))
-    width = LONG + 1
-    step = width * width + width + 1
-    table = [span_key(i, j, k) if i < j < k else 0 for i in range(width) for j in range(width) for k in range(width)]
-    keys = np.array(table, np.uint64)
-    none = len(ids) + 1
-    best_first = sorted(ids, key=lambda p: -scores[p])
-    ranks = {p: i for i, p in enumerate(best_first)}
-    if len({scores[p] for p in ids}) < len(ids):  # equal scores are equal ranks: the leftmost goes first
+    return agenda.mixed(number * B.BASE + document_key(key, seed) & agenda.ALL)
+
+
+class Codec:
+    """encode(texts, keys of the documents) to packed ids (little-endian 32 bits), and decode(ids) to UTF-8 bytes."""
+
+    def __init__(self, path: str, rate: float, seed: int):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        n = model.get_piece_size()
+        names = [model.id_to_piece(i) for i in range(n)]
+        bare = [model.is_control(i) or model.is_unknown(i) for i in range(n)]
+        ids = {p: i for i, p in enumerate(names) if not (bare[i] or model.is_byte(i))}
+        if any(SPACE in p.lstrip(SPACE) for p in ids):
+            raise ValueError("pieces with inner spaces aren't supported")
+        of_byte = {int(names[i][3:5], 16): i for i in range(n) if model.is_byte(i)}
+        self.seed = seed
+        self.byte_ids = np.array([of_byte.get(i, 0) for i in range(256)], np.uint32)
+        self.texts = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else b"" if bare[i] else p.replace(SPACE, " ").encode() for i, p in enumerate(names)]
+        # Symbols: the pieces, then the characters that stand in pieces without being one.
+        symbols = dict(ids)
+        for c in sorted({c for p in ids for c in p}.difference(ids)):
+            symbols[c] = n + len(symbols) - len(ids)
+        count = n + len(symbols) - len(ids)
+        self.pieces = n
         place: dict[float, int] = {}
-        ranks = {p: place.setdefault(scores[p], i) for i, p in enumerate(best_first)}
-
-    def segments(unit: str, skips: Callable[[int, int, int], bool]) -> list[str]:
-        n = len(unit)
-        symbols: list[str] = list(unit)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # a symbol is known by its start
-        agenda: list[tuple[int, int, int, int]] = []
-
-        def propose(i: int) -> None:
-            j = after[i]
-            if j < n:
-                r = ranks.get(symbols[i] + symbols[j], none)
-                if r != none and not skips(i, j, after[j]):
-                    heapq.heappush(agenda, (r, i, j, after[j]))
-
-        for i in range(n - 1):
-            propose(i)
-        while agenda:
-            _, i, j, k = heapq.heappop(agenda)
-            if not symbols[i] or after[i] != j or not symbols[j] or after[j] != k:
-                continue  # one of the two has been merged since
-            symbols[i] += symbols[j]
-            symbols[j] = ""
-            after[i] = k
-            if k < n:
-                before[k] = i
-            if before[i] >= 0:
-                propose(before[i])
-            propose(i)
-        return [x for x in symbols if x]
-
-    coded = {p: i.to_bytes(4, "little") for p, i in ids.items()}
-
-    def packed(symbols: list[str]) -> bytes:
-        return b"".join([coded[s] if s in coded else b"".join(of_byte[b].to_bytes(4, "little") for b in (SPACE if s == LITERAL else s).encode()) for s in symbols])
-
-    def short(unit: str, agenda: list[int], own: int) -> list[str]:
-        """segments() of a short unit, from its first agenda, in which what is skipped is `none`."""
-        symbols, starts = list(unit), list(range(len(unit) + 1))
-
-        def rank(i: int) -> int:
-            r = ranks.get(symbols[i] + symbols[i + 1], none)
-            if r != none:
-                x = table[(starts[i] * width + starts[i + 1]) * width + starts[i + 2]] ^ own
-                x = (x ^ x >> 32) * B.MIX & ALL
-                if (x ^ x >> 29) >> 32 < below:
-                    return none
-            return r
-
-        while agenda:
-            best = min(agenda)
-            if best == none:
-                break
-            at = agenda.index(best)
-            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
-            del starts[at + 1], agenda[at]
-            if at:
-                agenda[at - 1] = rank(at - 1)
-            if at < len(agenda):
-                agenda[at] = rank(at)
-        return symbols
-
-    def learnt(unit: str) -> tuple[bytes, bytes]:
-        """Candidates (16 bits each) in the order in which they come up if none is skipped, and the result."""
-        found: list[int] = []
-
-        def skips(i: int, j: int, k: int) -> bool:
-            found.append((i * width + j) * width + k)
-            return False
-
-        symbols = segments(unit, skips)
-        return np.array(found, np.uint16).tobytes(), packed(symbols)
-
-    # What a worker has learnt serves its later tasks as well, in a new and an old half.
+        for p in sorted(ids, key=lambda p: -model.get_score(ids[p])):
+            place.setdefault(model.get_score(ids[p]), len(place))  # equal scores are equal ranks: the leftmost goes first
+        found = [(symbols[p[:i]], symbols[p[i:]], place[model.get_score(k)], k) for p, k in ids.items() for i in range(1, len(p)) if p[:i] in symbols and p[i:] in symbols]
+        pairs = agenda.Pairs(*np.array(found, np.int64).reshape(-1, 4).T, count)
+        self.agenda = agenda.Agenda(pairs, int(rate * (1 << 32)))
+        self.none = count
+        self.of_char = np.full(CODE_POINTS, count, np.int32)
+        for c, s in symbols.items():
+            if len(c) == 1 and c != SPACE:
+                self.of_char[ord(c)] = s
+        self.of_char[0x20] = symbols.get(SPACE, count)
+
+    def encode(self, texts: list[str], keys: list[int]) -> list[bytes]:
+        chars = np.frombuffer("".join([" " + t for t in texts if t]).encode("utf-32-le"), "<u4")
+        lens = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
+        doc_starts = np.cumsum(lens) - lens
+        space = chars == 0x20
+        first = space.copy()
+        first[1:] &= ~space[:-1]
+        some = lens > 0
+        first[doc_starts[some]] = True
+        starts = np.flatnonzero(first)
+        of_doc = np.searchsorted(starts, doc_starts)  # each document's first unit
+        units = np.diff(np.append(of_doc, len(starts)))
+        number = np.arange(len(starts)) - np.repeat(of_doc, units)
+        own = np.array([document_key(k, self.seed) for k in keys], np.uint64)
+        owns = B.mixed(number.astype(np.uint64) * np.uint64(B.BASE) + np.repeat(own, units))
+        symbols = self.of_char[chars]
+        self.agenda.settle(symbols, starts, owns)
+        at = np.flatnonzero(symbols >= 0)
+        ids = symbols[at].astype(np.uint32)
+        cuts = np.searchsorted(at, np.append(doc_starts, len(chars)))
+        raw = np.flatnonzero(ids >= self.pieces)
+        if len(raw):  # characters that the model lacks, by their bytes
+            code = chars[at[raw]]
+            size = 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
+            spread = np.ones(len(ids), np.int64)
+            spread[raw] = size
+            to = np.concatenate([[0], np.cumsum(spread)])
+            cuts = to[cuts]
+            ids = np.repeat(ids, spread)
+            within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            ids[np.repeat(to[raw], size) + within] = self.byte_ids[np.frombuffer(code.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)]
+        packed = ids.astype("<u4").tobytes()
+        return [packed[4 * a : 4 * b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
+
+    def decode(self, raw: bytes) -> bytes:
+        return b"".join(map(self.texts.__getitem__, np.frombuffer(raw, "<u4").tolist()))[1:]
+
+
+def codec(path: str, rate: float, seed: int) -> Codec:
+    """A worker's tasks share it."""
     state = sys.modules.setdefault("itemloom_pieces", types.ModuleType("itemloom_pieces")).__dict__
     if state.get("of") != (path, rate, seed):
-        state.update({"of": (path, rate, seed), "new": {}, "old": {}})
-    split = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-
-    def long_ids(unit: str, own: int) -> bytes:
-        return packed(segments(unit, lambda *c: mixed(span_key(*c) ^ own) >> 32 < below))
-
-    def encode(text: str, key: int) -> bytes:
-        if not text:
-            return b""
-        text = text.replace(SPACE, LITERAL)
-        units = text.split(" ")
-        if "" in units:  # units without their first space
-            units = [u[1:] for u in split.findall(SPACE + text.replace(" ", SPACE))]
-        owns = B.mixed(np.arange(len(units), dtype=np.uint64) * np.uint64(B.BASE) + np.uint64(mixed((key ^ mixed(seed & ALL)) & ALL)))
-        own_keys = owns.tolist()
-        if len(state["new"]) > CACHE:
-            state["old"], state["new"] = state["new"], {}
-        new, old = state["new"], state["old"]
-        for u in set(units).difference(new):
-            if len(u) < LONG:
-                new[u] = old[u] if u in old else learnt(SPACE + u)
-        out: list[bytes] = [b""] * len(units)
-        number = []
-        for i, u in enumerate(units):
-            if len(u) >= LONG:
-                out[i] = long_ids(SPACE + u, own_keys[i])
-            else:
-                number.append(i)
-                out[i] = new[u][1]
-        for a in range(0, len(number) if below else 0, 1 << 16):
-            at = number[a : a + (1 << 16)]
-            spans = [new[units[i]][0] for i in at]
-            n = np.array([len(x) for x in spans]) // 2
-            every = np.frombuffer(b"".join(spans), np.uint16)
-            hits = np.flatnonzero(B.mixed(keys[every] ^ np.repeat(owns[at], n)) >> np.uint64(32) < np.uint64(below))
-            skipped: dict[int, set[int]] = {}
-            for k, c in zip(np.searchsorted(np.cumsum(n), hits, "right").tolist(), every[hits].tolist()):
-                skipped.setdefault(k, set()).add(c)
-            for k, gone in skipped.items():
-                unit = SPACE + units[at[k]]
-                agenda = [none if i * step + width + 2 in gone else ranks.get(unit[i : i + 2], none) for i in range(len(unit) - 1)]
-                out[at[k]] = packed(short(unit, agenda, own_keys[at[k]]))
-        return b"".join(out)
-
-    def decode(raw: bytes) -> bytes:
-        return b"".join(map(texts.__getitem__, np.frombuffer(raw, "<u4").tolist()))[1:]
-
-    return encode, decode
+        state.update({"of": (path, rate, seed), "codec": Codec(path, rate, seed)})
+    return state["codec"]
 
 
 def key_of(i: object, seed: int) -> int:
@@ -214,10 +138,22 @@ def encode(docs: DataFrame, model: str, rate: float = RATE, seed: int = SEED, id
     """One row per document: id, variant (the key of its draws), n_bytes, ids (packed, little-endian 32 bits)."""
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        to_ids = codec(model, rate, seed)[0]
+        own = codec(model, rate, seed)
+        held: list[tuple] = []
+        size = 0
+
+        def flush() -> Iterator[tuple]:
+            texts, keys = [t for _, t in held], [key_of(i, seed) for i, _ in held]
+            yield from ((i, v, len(t.encode()), ids) for (i, t), v, ids in zip(held, keys, own.encode(texts, keys)))
+            held.clear()
+
         for i, text in rows:
-            v = key_of(i, seed)
-            yield i, v, len((text or "").encode()), to_ids(text or "", v)
+            if held and size + len(text or "") > BATCH:
+                yield from flush()
+                size = 0
+            held.append((i, text or ""))
+            size += len(text or "") + 16
+        yield from flush()
 
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     return B.map_rows(chosen, run, f"id {dict(docs.dtypes)[id_col]}, variant long, n_bytes long, ids binary").withColumnRenamed("id", id_col)
@@ -227,7 +163,7 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
     """The rows with `decoded` (UTF-8 bytes; null ids: null) in place of the ids."""
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        to_text = codec(model, 0.0, 0)[1]
+        to_text = codec(model, 0.0, 0).decode
         for *kept, raw in rows:
             yield (*kept, zlib.crc32(raw) if raw is not None else None, len(raw) // 4 if raw is not None else None, to_text(raw) if raw is not None else None)
 

@@ -5,8 +5,8 @@ A byte goes if a string of `length` bytes that covers it also starts in a docume
 Which suffixes are sorted. Every string of `length` bytes is assigned to one of its own places: where the
 hash of the KMER bytes there is least (leftmost on ties). Equal strings have that place at the same
 offset, so strings need only be compared around equal places ("anchors", about 8 % of all positions),
-and none is lost. A first exchange of the anchors' hashes (6 bytes each, one a block) finds those that
-occur once only; all their strings are unique.
+and none is lost. A first exchange of the upper bits of the anchors' hashes (three bytes or so each, once a
+block) finds those that one block alone has; their strings are unique but for those of this block.
 
 How they are sorted. Each block sorts the suffixes at its other anchors (the bytes to the right as far as
 the anchor's strings reach, then those to the left, outwards), front-codes each sorted run (the length of
@@ -17,10 +17,16 @@ so no known prefix is compared again. The merged order and its common prefixes g
 the classes of strings that are equal to the right; those to the left come from sorting the left sides.
 Strings that agree in both are equal, and all but those of the smallest id are repeated.
 
-Defined results: null and empty texts have no bytes and no spans; null ids count as the smallest id;
-rows with equal ids are judged against smaller ids only. Suffixes that occur several times in one block
-are sent once, so a frequent passage costs a bucket one entry a block. Hashes only choose places and
-drop anchors without any equal hash; equality is decided on the bytes.
+Hot places. Suffixes that occur several times in one block are sent once, so a frequent passage costs a bucket one
+entry a block. A place that more than HOT blocks share, each perhaps with other bytes around it, is sent twice: for
+the strings that reach BESIDE bytes or more beyond its right end, to the bucket of these bytes, and for the others,
+which then reach as far to its left, to the bucket of the bytes there. So its strings spread over buckets as their
+surroundings do, and equal ones still meet.
+
+Defined results: null and empty texts have no bytes and no spans; a text of any length is one piece of work, of some
+20 times its size; null ids count as the smallest id; rows with equal ids are judged against smaller ids only, in
+whichever blocks they are; an empty table has no rows; `cleaned` keeps all other columns, whatever their names.
+Hashes only choose places and buckets, and drop anchors without any equal hash; equality is decided on the bytes.
 """
 
 from __future__ import annotations
@@ -38,6 +44,9 @@ from itemloom.llm import blocks as B
 
 LENGTH = 50
 KMER = 25
+#: Blocks that share a place from which on it is hot, and the bytes beside it that then choose buckets.
+HOT = 256
+BESIDE = 12
 #: Window starts worked on at once; small enough for a CPU cache.
 PIECE = 1 << 16
 
@@ -97,17 +106,34 @@ def anchors(block: B.Block, length: int, kmer: int) -> tuple[np.ndarray, np.ndar
     return place, B.mixed(h * np.uint64(B.BASE)), place - last, place - first
 
 
-def shared_anchors(block: B.Block, told: pd.DataFrame, length: int, kmer: int) -> tuple[np.ndarray, ...]:
-    """Of the anchors whose hash occurs in another block, or under several ids of this: places, hashes, offsets, ids."""
+def shared_anchors(block: B.Block, told: pd.DataFrame, length: int, kmer: int, bits: int) -> tuple[np.ndarray, ...]:
+    """Of the anchors whose hash may occur in another block, or occurs under several ids of this: places, hashes, offsets, ids.
+
+    Hot ones come twice, each with its share of the offsets and with a hash of the bytes beside that these strings share.
+    """
     place, h, least, most = anchors(block, length, kmer)
     owner = block.ids[np.searchsorted(block.ends, place, "right")]
     if not len(h):
         return place, h, least, most, owner
+    flags = B.shared_elsewhere(h, told, bits)
     distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
     last = np.zeros(len(distinct), np.int64)
     last[back] = np.arange(len(h))
-    some = (B.flags_joined(told, len(distinct)).astype(bool) | (owner[last] > owner[first]))[back]
-    return place[some], h[some], least[some], most[some], owner[some]
+    some = (flags > 0) | (owner[last] > owner[first])[back]  # a block is in order of its ids
+    hot = flags[some] > 1
+    place, h, least, most, owner = (x[some] for x in (place, h, least, most, owner))
+    if not hot.any() or length - kmer < 2 * BESIDE:
+        return place, h, least, most, owner
+    limit = length - kmer - BESIDE  # a string that starts at most so far left reaches BESIDE bytes beyond the place
+    out = [[x[~hot]] for x in (place, h, least, most, owner)]
+    for side, keep in enumerate((hot & (least <= limit), hot & (most > limit))):
+        p = place[keep]
+        edge = (p + kmer, p + kmer + BESIDE) if not side else (p - limit - 1, p)
+        own = B.mixed(h[keep] * np.uint64(B.BASE) + B.span_hashes(block.data, *edge, side + 1))
+        low, high = (least[keep], np.minimum(most[keep], limit)) if not side else (np.maximum(least[keep], limit + 1), most[keep])
+        for to, x in zip(out, (p, own, low, high, owner[keep])):
+            to.append(x)
+    return tuple(np.concatenate(x) for x in out)
 
 
 def words_at(block: B.Block, place: np.ndarray, right: np.ndarray, left: np.ndarray, n_right: int, n_left: int) -> list[np.ndarray]:
@@ -146,9 +172,9 @@ def shared_prefix(words: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def sorted_run(block: B.Block, told: pd.DataFrame, length: int, kmer: int, n_buckets: int) -> dict[str, np.ndarray | list]:
+def sorted_run(block: B.Block, told: pd.DataFrame, length: int, kmer: int, n_buckets: int, bits: int) -> dict[str, np.ndarray | list]:
     """The block's distinct suffixes in order of (bucket, bytes), and for each shared anchor which of them it is."""
-    place, h, least, most, owner = shared_anchors(block, told, length, kmer)
+    place, h, least, most, owner = shared_anchors(block, told, length, kmer, bits)
     words = words_at(block, place, length - least, most, -(-length // 8), -(-(length - kmer) // 8))
     bucket = np.searchsorted(B.bucket_edges(n_buckets), h, "right")
     order = np.lexsort([owner, most, least, *reversed(words), bucket])
@@ -287,9 +313,9 @@ def repeated_offsets(shared: np.ndarray, left: list[np.ndarray], least: np.ndarr
     return bits
 
 
-def removed_bytes(block: B.Block, told: pd.DataFrame, length: int, kmer: int, n_buckets: int) -> np.ndarray:
+def removed_bytes(block: B.Block, told: pd.DataFrame, length: int, kmer: int, n_buckets: int, bits: int) -> np.ndarray:
     """Whether each byte of the block goes. told: the answers of both exchanges (kind 0 and 1)."""
-    run = sorted_run(block, told[told.kind == 0], length, kmer, n_buckets)
+    run = sorted_run(block, told[told.kind == 0], length, kmer, n_buckets, bits)
     start = np.zeros(len(block.data) + length, np.int8)
     if len(run["place"]):
         answers = told[told.kind == 1].sort_values("bucket")
@@ -303,39 +329,39 @@ def removed_bytes(block: B.Block, told: pd.DataFrame, length: int, kmer: int, n_
     return np.cumsum(start[: len(block.data)], dtype=np.int8) > 0
 
 
-def exchanges(docs: DataFrame, length: int, kmer: int, id_col: str, text_col: str, carry: list | None = None) -> tuple[DataFrame, DataFrame, int]:
-    """The stored blocks, and rows (lo, kind, bucket, flags) with both exchanges' answers."""
-    spark = docs.sparkSession
-    n_buckets = B.bucket_count(spark)
-    rows = B.kept(B.blocks(docs, id_col, text_col, carry))
-    asked = B.sent(rows, lambda block: np.unique(anchors(block, length, kmer)[1]), n_buckets)
+def exchanges(docs: DataFrame, length: int, kmer: int, id_col: str, text_col: str, carry: list | None = None) -> tuple[DataFrame, DataFrame, int, int]:
+    """The stored blocks, rows (uid, kind, bucket, flags) with both exchanges' answers, and how many buckets and screening bits there are."""
+    rows, n_bytes = B.stored(docs, id_col, text_col, carry)
+    n_buckets, bits = B.bucket_count(docs.sparkSession, n_bytes), B.screening_bits(n_bytes)
+    asked = B.sent(rows, lambda block: anchors(block, length, kmer)[1], n_buckets, bits)
 
-    def shared_by_blocks(h, row, first, group):
-        return (np.bincount(group) > 1)[group]
+    def shared_by_blocks(row, group):
+        blocks = np.bincount(group)
+        return ((blocks > 1).astype(np.uint8) + (blocks > HOT))[group]
 
-    screened = B.answered(asked, shared_by_blocks).withColumn("kind", F.lit(0))
+    screened = B.kept(B.answered(asked, shared_by_blocks).withColumn("kind", F.lit(0)))
 
     def runs(mine: pd.DataFrame, flags: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for lo, body in zip(mine.lo, mine.body):
-            run = sorted_run(B.unpacked(body), flags, length, kmer, n_buckets)
+        for uid, body in zip(mine.uid, mine.body):
+            run = sorted_run(B.unpacked(body), flags, length, kmer, n_buckets, bits)
             new = run["new"]
             cuts = np.searchsorted(run["bucket"], np.arange(n_buckets + 1))
             least, most, owner = (run[k][new] for k in ("least", "most", "owner"))
+            lo = int(owner.min()) if len(owner) else 0
             for b in range(n_buckets):
                 i, j = cuts[b], cuts[b + 1]
                 if j > i:
                     shared, rest = front_coded([w[i:j] for w in run["words"]])
                     offsets = zstandard.compress(np.concatenate([least[i:j], most[i:j]]).astype(np.uint8).tobytes(), 1)
-                    out.append((b, lo, shared, rest, offsets, B.planes((owner[i:j] - lo).astype(np.uint64))))
-        return pd.DataFrame(out, columns=["bucket", "lo", "shared", "rest", "offsets", "owner"])
+                    out.append((b, uid, lo, shared, rest, offsets, B.planes((owner[i:j] - lo).astype(np.uint64))))
+        return pd.DataFrame(out, columns=["bucket", "uid", "lo", "shared", "rest", "offsets", "owner"]).astype({"bucket": "int32", "uid": "int64", "lo": "int64"})
 
-    sent_runs = rows.select("lo", "body").groupBy("lo").cogroup(screened.groupBy("lo")).applyInPandas(runs, "bucket int, lo long, shared binary, rest binary, offsets binary, owner binary")
+    sent_runs = rows.select("uid", "body").groupBy("uid").cogroup(screened.groupBy("uid")).applyInPandas(runs, "bucket int, uid long, lo long, shared binary, rest binary, offsets binary, owner binary")
     n_right, n_left = -(-length // 8), -(-(length - kmer) // 8)
     width = 8 * (n_right + n_left)
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("lo", ignore_index=True)
         coded, strings, rows_of, least, most, owner = [], [], [], [], [], []
         for r in frame.itertuples():
             shared, mat = front_decoded(r.shared, r.rest, width)
@@ -358,23 +384,23 @@ def exchanges(docs: DataFrame, length: int, kmer: int, id_col: str, text_col: st
         left = [np.ascontiguousarray(mat[:, 8 * j : 8 * j + 8]).view(">u8").reshape(-1).astype(np.uint64)[order] for j in range(n_left)]
         bits = np.empty(len(place), np.uint64)
         bits[order] = repeated_offsets(np.array(out_shared), left, np.concatenate(least)[order], np.concatenate(most)[order], np.concatenate(owner)[order], length, kmer)
-        return pd.DataFrame({"lo": frame.lo, "kind": 1, "bucket": frame.bucket.astype("int32"), "flags": [B.planes(x) for x in np.split(bits, np.cumsum(sizes)[:-1])]})
+        return pd.DataFrame({"uid": frame.uid, "kind": 1, "bucket": frame.bucket.astype("int32"), "flags": [B.planes(x) for x in np.split(bits, np.cumsum(sizes)[:-1])]})
 
-    answers = sent_runs.groupBy("bucket").applyInPandas(merge, "lo long, kind int, bucket int, flags binary")
-    return rows, screened.select("lo", "kind", "bucket", "flags").union(answers), n_buckets
+    answers = sent_runs.groupBy("bucket").applyInPandas(merge, "uid long, kind int, bucket int, flags binary")
+    return rows, screened.select("uid", "kind", "bucket", "flags").union(answers), n_buckets, bits
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_bytes, n_removed, spans (removed byte intervals, end exclusive), kept (the other bytes)."""
     if not 0 < kmer <= length <= 120:
         raise ValueError("0 < kmer <= length <= 120")
-    rows, told, n_buckets = exchanges(docs, length, kmer, id_col, text_col)
+    rows, told, n_buckets, bits = exchanges(docs, length, kmer, id_col, text_col)
 
     def finish(mine: pd.DataFrame, flags: pd.DataFrame) -> pd.DataFrame:
         out = []
         for body in mine.body:
             block = B.unpacked(body)
-            gone = removed_bytes(block, flags, length, kmer, n_buckets)
+            gone = removed_bytes(block, flags, length, kmer, n_buckets, bits)
             for i in range(block.n):
                 a, b = int(block.ends[i - 1]) if i else 0, int(block.ends[i])
                 g = gone[a:b]
@@ -382,7 +408,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, id_col: str =
                 out.append((block.ids[i] if block.ids[i] != B.NO_ID else None, b - a, int(g.sum()), edge.reshape(-1, 2).tolist(), block.data[a:b][~g].tobytes()))
         return pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "spans", "kept"]).astype({"id": "Int64"})
 
-    done = rows.select("lo", "body").groupBy("lo").cogroup(told.groupBy("lo")).applyInPandas(finish, "id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary")
+    done = rows.select("uid", "body").groupBy("uid").cogroup(told.groupBy("uid")).applyInPandas(finish, "id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary")
     return done.withColumnRenamed("id", id_col)
 
 
@@ -390,13 +416,13 @@ def cleaned(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, id_col: str
     """docs with the repeated bytes taken out of their texts; what is left of a character that was cut goes too."""
     columns = docs.columns
     others = [c for c in columns if c != text_col]
-    rows, told, n_buckets = exchanges(docs, length, kmer, id_col, text_col, [F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(others)])
+    rows, told, n_buckets, bits = exchanges(docs, length, kmer, id_col, text_col, [F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(others)])
 
     def finish(mine: pa.Table, flags: pa.Table) -> pa.Table:
         out = []
         for body in mine.column("body").to_pylist():
             block = B.unpacked(body)
-            gone = removed_bytes(block, flags.to_pandas(), length, kmer, n_buckets)
+            gone = removed_bytes(block, flags.to_pandas(), length, kmer, n_buckets, bits)
             texts = []
             for i in range(block.n):
                 a, b = int(block.ends[i - 1]) if i else 0, int(block.ends[i])
@@ -404,7 +430,7 @@ def cleaned(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, id_col: str
             out.append(block.rows().rename_columns(others).append_column(text_col, pa.array(texts, pa.string())))
         return pa.concat_tables(out).select(columns)
 
-    return rows.select("lo", "body").groupBy("lo").cogroup(told.groupBy("lo")).applyInArrow(finish, docs.schema)
+    return rows.select("uid", "body").groupBy("uid").cogroup(told.groupBy("uid")).applyInArrow(finish, docs.schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:
