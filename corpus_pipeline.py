@@ -15,23 +15,13 @@ from pyspark.sql import functions as F
 from itemloom.llm import blocks, jaccard, lines, lm, packing, suffix
 from itemloom.llm.queries import table, tokenizer_path
 
-#: Ids up to which a list of documents to drop is broadcast (16 MB); beyond, it is joined by shuffle.
-BROADCAST_IDS = 2_000_000
-
-
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs less those with one of the ids (one column, doc_id). A null id is never dropped."""
-    ids = blocks.kept(ids.select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col("doc_id") == F.col("__gone"), "left_anti")
-
 
 def sized(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = lm.classify(docs, table(spark, sf_dir, "labels"))
-    return without(docs, judged.where("NOT kept").select("doc_id"))
+    return lm.kept_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,13 +30,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    joined = blocks.kept(jaccard.join(docs))
-    rest = without(docs, joined.where("component_id <> doc_id").select("doc_id"))
-    twice = joined.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id")
-    if twice.isEmpty():
-        return rest
-    again = rest.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return without(rest, twice).unionByName(again)
+    return jaccard.deduplicated(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,9 +57,19 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed windows of `documents`; stages are written to the shared checkpoint folder."""
     blocks.shared_dir(spark)
     at = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
         path = f"{at}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            drop(spark, before)
+        before = path
+        blocks.release(spark)
     return docs
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a stage's folder, on whichever file system it is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
