@@ -47,7 +47,7 @@ SENT = 4
 WORDS = 5
 PERCENT = 75
 #: Sets, and bytes of their coded hashes, of a chunk of a component, on average.
-CHUNK = 512
+CHUNK = 64
 CHUNK_BYTES = 8 << 20
 #: Rows up to which what is told of the documents of groups is broadcast (32 MB); beyond, it is joined by shuffle.
 BROADCAST_KINDS = 1_000_000

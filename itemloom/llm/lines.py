@@ -12,7 +12,9 @@ BROADCAST_HASHES hashes; beyond that the join is by shuffle, where adaptive exec
 
 Defined results: pages without host or text stay as they are and count nowhere; a page counts once per
 line, whatever its repeats; blank lines (space and tab to carriage return only) are never dropped; lines
-end at \\n and are compared exactly; repeated rows are pages of their own. A null text has no lines.
+end at \\n and are compared by 64-bit hashes (a host of n unlike lines takes two for one with odds of n**2 / 2**65);
+repeated rows are pages of their own; null ids are ids like any other. A null text has no lines; a text of any length is
+split whole. An empty table has no rows, and columns of any name are kept.
 """
 
 from __future__ import annotations

@@ -3,16 +3,19 @@
 The reader follows the chain of image directories in either byte order, decodes uncompressed, PackBits,
 LZW and deflate data in strips or tiles, undoes horizontal differencing for 8- and 16-bit samples, and
 gives a row per page. The writer makes grey 8-bit pages; the query stores each payload as one page of 64
-columns. Compression is chosen by size alone, so equal texts give equal files: LZW up to 256 bytes,
-PackBits up to 512, deflate beyond, in tiles with differencing from TILED bytes on.
-
-Defined results: a null or empty text is a payload of 64 zero bytes; null media give no page; damaged
-media give one row whose error says why, rather than failing the job. All work is within rows, so
-there is no shuffle and memory is bounded by the largest text.
+columns. Codec (PackBits, LZW, deflate), strips or tiles, and differencing (not with PackBits) are chosen by a hash
+of the payload, so texts of every size take every path, and equal texts give equal files.
+
+Defined results: a null or empty text is a payload of 64 zero bytes; null media give no page; damaged media (parts
+that are missing, too short, too long or don't cover the page, sizes of 0 or of more than LIMIT bytes, unknown
+codecs, circles) give the pages before the damage and one row whose error says why, rather than failing the job; an
+empty table has no rows; repeated rows give repeated pages; kept columns may have any name. All work is within
+rows, so there is no shuffle; memory is bounded by some eight times the largest text, or page.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,8 +28,11 @@ from pyspark.sql import functions as F
 from itemloom.llm import blocks as B
 
 COLUMNS = 64
-TILED = 1 << 16
 STRIP_ROWS = 128
+TILE = (32, 32)
+#: Bytes of a page that are read at most.
+LIMIT = 1 << 30
+RUNS = re.compile(rb"(.)\1{2,127}", re.DOTALL)
 #: Tags and values of the TIFF 6.0 specification.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279
 PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 284, 317, 322, 323, 324, 325
@@ -39,21 +45,20 @@ FIELD_CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
 
 
 def packbits(data: bytes) -> bytes:
-    out, at, n = bytearray(), 0, len(data)
-    while at < n:
-        run = 1
-        while run < 128 and at + run < n and data[at + run] == data[at]:
-            run += 1
-        if run > 1:
-            out += bytes((257 - run, data[at]))
-            at += run
-            continue
-        end = at + 1
-        while end < n and end - at < 128 and not (end + 1 < n and data[end] == data[end + 1]):
-            end += 1
-        out.append(end - at - 1)
-        out += data[at:end]
-        at = end
+    """Runs of three bytes or more as such, what lies between as it is, 128 at most at a time."""
+    out, at = bytearray(), 0
+
+    def literal(end: int) -> None:
+        for a in range(at, end, 128):
+            part = data[a : min(a + 128, end)]
+            out.append(len(part) - 1)
+            out.extend(part)
+
+    for run in RUNS.finditer(data):
+        literal(run.start())
+        out.extend((257 - (run.end() - run.start()), data[run.start()]))
+        at = run.end()
+    literal(len(data))
     return bytes(out)
 
 
@@ -72,88 +77,103 @@ def unpackbits(data: bytes) -> bytes:
     return bytes(out)
 
 
+def lzw_widths(n: int) -> np.ndarray:
+    """Bits of the first n codes after the table was cleared: one more from the code on before which the table has 2**w - 1 entries."""
+    return 9 + np.searchsorted(np.array([511, 1023, 2047]), np.arange(n) + 257, "right")
+
+
 def lzw(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, most significant bit first, widened one code early."""
-    bits = count = 0
-    out = bytearray()
-
-    def put(code: int, width: int) -> None:
-        nonlocal bits, count
-        bits, count = bits << width | code, count + width
-        while count >= 8:
-            count -= 8
-            out.append(bits >> count & 255)
-        bits &= (1 << count) - 1
-
-    table: dict[bytes, int] = {bytes([i]): i for i in range(256)}
-    width, following = 9, 258
-    put(256, width)
-    have = b""
-    for i in range(len(data)):
-        more = have + data[i : i + 1]
-        if more in table:
-            have = more
+    """Codes of 9 to 12 bits, most significant bit first, widened one code early; the table is cleared before it is full."""
+    codes: list[int] = [256]
+    clears = [0]  # places of the clear codes
+    table: dict[int, int] = {}  # (code of what is known, next byte) to the code of both
+    following, have = 258, -1
+    get = table.get
+    for c in data:
+        if have < 0:
+            have = c
+            continue
+        key = have << 8 | c
+        known = get(key)
+        if known is not None:
+            have = known
             continue
-        put(table[have], width)
-        table[more] = following
+        codes.append(have)
+        table[key] = following
         following += 1
+        have = c
         if following == 4094:
-            put(256, width)
-            table = {bytes([j]): j for j in range(256)}
-            width, following = 9, 258
-        elif following > (1 << width) - 1:
-            width += 1
-        have = data[i : i + 1]
-    if have:
-        put(table[have], width)
-        following += 1
-        if following > (1 << width) - 1 and width < 12:
-            width += 1
-    put(257, width)
-    if count:
-        out.append(bits << 8 - count & 255)
-    return bytes(out)
-
-
-def unlzw(data: bytes) -> bytes:
+            clears.append(len(codes))
+            codes.append(256)
+            table.clear()
+            following = 258
+    if have >= 0:
+        codes.append(have)
+    codes.append(257)
+    # A clear code has the width that was reached; the codes behind it start anew.
+    place = np.arange(len(codes))
+    since = place - np.array(clears)[np.searchsorted(clears, place, "left") - 1] - 1
+    since[0] = 0
+    width = lzw_widths(int(since.max()) + 1)[since]
+    ends = np.cumsum(width)
+    bits = np.repeat(np.array(codes), width) >> (np.repeat(ends, width) - 1 - np.arange(ends[-1])) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def unlzw(data: bytes, most: int = LIMIT) -> bytes:
+    bits = np.concatenate([np.unpackbits(np.frombuffer(data, np.uint8)), np.zeros(12, np.uint8)]).astype(np.int32)
+    sums = sum(bits[i : len(bits) - 11 + i] << (11 - i) for i in range(12)) if data else np.zeros(0, np.int32)  # twelve bits from each place
     start = [bytes([i]) for i in range(256)] + [b"", b""]
-    table, width, previous = list(start), 9, b""
     out: list[bytes] = []
-    bits = count = 0
-    for byte in data:
-        bits, count = (bits << 8 | byte) & 0xFFFFFF, count + 8
-        if count < width:
-            continue
-        count -= width
-        code = bits >> count & (1 << width) - 1
-        if code == 257:
-            break
-        if code == 256:
-            table, width, previous = list(start), 9, b""
-            continue
-        if code < len(table):
-            entry = table[code]
-        elif code == len(table) and previous:
-            entry = previous + previous[:1]
+    at, size = 0, 0
+    widths = lzw_widths(1 << 12)
+    steps = np.cumsum(widths) - widths
+    end = 8 * len(data)
+    while True:  # from one clear code to the next
+        n = int(np.searchsorted(at + steps + widths, end, "right"))
+        codes = (sums[at + steps[:n]] >> (12 - widths[:n])).tolist()
+        table, previous = list(start), b""
+        for i, code in enumerate(codes):
+            if code == 257:
+                return b"".join(out)
+            if code == 256:
+                at += int(steps[i] + widths[i])
+                break
+            if code < len(table):
+                entry = table[code]
+            elif code == len(table) and previous:
+                entry = previous + previous[:1]
+            else:
+                raise ValueError(f"LZW code {code} out of {len(table)}")
+            out.append(entry)
+            size += len(entry)
+            if size > most:
+                raise ValueError("a strip or tile is too long")
+            if previous:
+                table.append(previous + entry[:1])
+            previous = entry
         else:
-            raise ValueError(f"LZW code {code} out of {len(table)}")
-        out.append(entry)
-        if previous:
-            table.append(previous + entry[:1])
-            if len(table) >= (1 << width) - 1 and width < 12:
-                width += 1
-        previous = entry
-    return b"".join(out)
+            if n == len(widths):
+                raise ValueError("the LZW table was not cleared")
+            return b"".join(out)
 
 
 def compress(data: bytes, method: int) -> bytes:
     return {NONE: bytes, LZW: lzw, PACKBITS: packbits, DEFLATE: lambda x: zlib.compress(x, 1)}[method](data)
 
 
-def decompress(data: bytes, method: int) -> bytes:
+def inflate(data: bytes, most: int) -> bytes:
+    work = zlib.decompressobj()
+    out = work.decompress(data, most + 1)
+    if not work.eof and len(out) <= most:
+        raise ValueError("a deflate stream without its end")
+    return out
+
+
+def decompress(data: bytes, method: int, most: int = LIMIT) -> bytes:
     if method not in (NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS):
         raise ValueError(f"compression {method} isn't supported")
-    return {NONE: bytes, LZW: unlzw, PACKBITS: unpackbits, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress}[method](data)
+    return {NONE: lambda x, _: bytes(x), LZW: unlzw, PACKBITS: lambda x, _: unpackbits(x), DEFLATE: inflate, OLD_DEFLATE: inflate}[method](data, most)
 
 
 def differenced(x: np.ndarray) -> np.ndarray:
@@ -242,39 +262,49 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, list[int]]]]:
 def pixels(data: bytes, order: str, fields: dict[int, list[int]]) -> np.ndarray:
     """A page's samples: rows, columns, samples."""
     one = lambda tag, default=None: fields.get(tag, [default])[0]
-    width, height, samples, bits = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), set(fields.get(BITS, [1]))
+    width, height, samples, bits = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1), set(fields.get(BITS, [1]))
     if bits not in ({8}, {16}) or one(PLANAR, 1) != 1:
         raise ValueError("only interleaved samples of 8 or 16 bits are supported")
     dtype = np.dtype(np.uint8 if bits == {8} else order + "u2")
     method, predictor = one(COMPRESSION, 1), one(PREDICTOR, 1)
     if predictor not in (1, 2):
         raise ValueError(f"predictor {predictor} isn't supported")
+    if not 0 < width * height * samples * dtype.itemsize <= LIMIT:
+        raise ValueError(f"a page of {width} x {height} x {samples} samples is empty or over the limit")
 
     def part(offset: int, count: int, rows: int, columns: int) -> np.ndarray:
-        raw = decompress(data[offset : offset + count], method)
         need = rows * columns * samples * dtype.itemsize
+        if offset + count > len(data) or need > 4 * LIMIT:
+            raise ValueError("a strip or tile is beyond the file or over the limit")
+        raw = decompress(data[offset : offset + count], method, need + 8)  # some writers pad
         if len(raw) < need:
             raise ValueError("a strip or tile is too short")
         x = np.frombuffer(raw, dtype, rows * columns * samples).reshape(rows, columns, samples)
         x = x.astype(dtype.newbyteorder("="))
         return summed(x) if predictor == 2 else x
 
-    out = np.empty((height, width, samples), dtype.newbyteorder("="))
     def covered(offsets: int, counts: int, need: int) -> None:
-        if min(len(fields[offsets]), len(fields[counts])) < need:
+        if min(len(fields.get(offsets, [])), len(fields.get(counts, []))) < need:
             raise ValueError("the strips or tiles don't cover the page")
 
+    out = np.zeros((height, width, samples), dtype.newbyteorder("="))
     if TILE_OFFSETS in fields:
-        tw, th = one(TILE_WIDTH), one(TILE_HEIGHT)
+        tw, th = one(TILE_WIDTH, 0), one(TILE_HEIGHT, 0)
+        if tw <= 0 or th <= 0:
+            raise ValueError("tiles without a size")
         across = -(-width // tw)
-        covered(TILE_OFFSETS, TILE_COUNTS, across * -(-height // th))
-        for i, (offset, count) in enumerate(zip(fields[TILE_OFFSETS], fields[TILE_COUNTS])):
+        tiles = across * -(-height // th)
+        covered(TILE_OFFSETS, TILE_COUNTS, tiles)
+        for i, (offset, count) in enumerate(zip(fields[TILE_OFFSETS][:tiles], fields[TILE_COUNTS])):
             r, c = i // across * th, i % across * tw
             out[r : r + th, c : c + tw] = part(offset, count, th, tw)[: height - r, : width - c]
     else:
         per = min(one(ROWS_PER_STRIP, height), height)
-        covered(STRIP_OFFSETS, STRIP_COUNTS, -(-height // per) if per else 0)
-        for i, (offset, count) in enumerate(zip(fields[STRIP_OFFSETS], fields[STRIP_COUNTS])):
+        if per <= 0:
+            raise ValueError("strips without rows")
+        strips = -(-height // per)
+        covered(STRIP_OFFSETS, STRIP_COUNTS, strips)
+        for i, (offset, count) in enumerate(zip(fields[STRIP_OFFSETS][:strips], fields[STRIP_COUNTS])):
             rows = min(per, height - i * per)
             out[i * per : i * per + rows] = part(offset, count, rows, width)
     return out
@@ -300,11 +330,12 @@ def pages(media: DataFrame, media_col: str = "media", keep: list[str] | None = N
         for *kept, raw in rows:
             number = 0
             try:
-                for number, (order, fields) in enumerate(directories(raw) if raw is not None else []):
+                for order, fields in directories(raw) if raw is not None else []:
                     x = pixels(raw, order, fields)
                     yield (*kept, number, *x.shape, fields.get(COMPRESSION, [1])[0], fields.get(PREDICTOR, [1])[0], x.tobytes(), feature(x), None)
-            except (ValueError, TypeError, struct.error, zlib.error, KeyError) as e:
-                yield (*kept, number, *[None] * 7, str(e))
+                    number += 1
+            except (ValueError, TypeError, ArithmeticError, LookupError, MemoryError, struct.error, zlib.error) as e:
+                yield (*kept, number, *[None] * 7, str(e) or type(e).__name__)
 
     chosen = media.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(media_col).alias("m"))
     kinds = [f"k{i} {dict(media.dtypes)[c]}" for i, c in enumerate(keep)]
@@ -316,10 +347,11 @@ def payload(text: bytes) -> bytes:
 
 
 def stored(raw: bytes) -> bytes:
-    """A payload as a TIFF file."""
+    """A payload as a TIFF file; how is chosen by a hash of it."""
     x = np.frombuffer(raw, np.uint8).reshape(-1, COLUMNS)
-    method = LZW if len(raw) <= 256 else PACKBITS if len(raw) <= 512 else DEFLATE
-    return written([Page(x, method, 2, (64, 64)) if len(raw) >= TILED else Page(x, method, 1)])
+    pick = zlib.crc32(raw)
+    method = (PACKBITS, LZW, DEFLATE)[pick % 3]
+    return written([Page(x, method, 2 if method != PACKBITS and pick >> 8 & 1 else 1, TILE if pick >> 9 & 1 else None)])
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

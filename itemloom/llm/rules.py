@@ -2,12 +2,14 @@
 
 The statistics of a whole text are computed over many texts at once in numpy; the trees are flat arrays
 and score batches. The score may only fall with the shares of symbols, repeated lines and repeated
-words. Training uses the labels of at most `sample` documents (those of the smallest hashes of their
-ids), whose statistics, not texts, come to the driver. Everything else reads all documents, without a shuffle.
-
-Defined results: a null text has no words, characters or lines; labels that are null, or of ids without a
-document, are not used; several labels of one id count as the lowest; without labels of both classes the
-trees are a constant and every document that passes the base rules is kept. Repeated rows are judged alike.
+words. Training uses the labels of at most `sample` ids (those of the smallest hashes), whose documents'
+statistics, not texts, come to the driver: one row an id, the least if several documents have it. Everything else
+reads all documents, without a shuffle.
+
+Defined results: a null text has no words, characters or lines; a text of any length is one piece of work, of some 25
+times its size; labels that are null, or of ids without a document, are not used; several labels of one id count as the
+lowest; without labels of both classes the trees are a constant and every document that passes the base rules is
+kept. Repeated rows are judged alike, null ids as any other; an empty table has no rows; other columns play no part.
 """
 
 from __future__ import annotations
@@ -121,15 +123,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     told = labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min("quality").alias("__quality"))
     some = told.orderBy(F.xxhash64("__id"), "__id").limit(sample)
     texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("binary").alias("__text"))
-    rows = texts.join(F.broadcast(some), F.col("__doc") == F.col("__id")).select(F.col("__quality").cast("double"), "__text")
+    rows = texts.join(F.broadcast(some), F.col("__doc") == F.col("__id")).select(F.col("__quality").cast("double"), "__text", "__id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in batch_blocks(batch):
                 x = statistics(block)[1]
-                yield pa.record_batch([batch.column(0).slice(int(block.ids[0]), block.n), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
+                own = [batch.column(i).slice(int(block.ids[0]), block.n) for i in (0, 2)]
+                yield pa.record_batch([*own, pa.array(list(x), pa.list_(pa.float64()))], names=["y", "id", "x"])
 
-    got = rows.mapInArrow(run, "y double, x array<double>").limit(4 * sample).toPandas()
+    got = rows.mapInArrow(run, f"y double, id {dict(rows.dtypes)['__id']}, x array<double>").groupBy("id").agg(F.min("y").alias("y"), F.min("x").alias("x")).toPandas()
     x = np.stack(got["x"].to_numpy()) if len(got) else np.zeros((0, len(NAMES)))
     order = np.lexsort([*x.T, got["y"].to_numpy(float)])  # the same trees whatever the order of rows
     return gbt.fit(x[order], got["y"].to_numpy(float)[order], MONOTONE)

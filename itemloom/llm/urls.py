@@ -13,7 +13,8 @@ parent domain of it and the url's path starts with the rule's; the longest fitti
 are left to the trees. The rule list is small by contract and is compiled into the plan.
 
 Defined results: null urls, and urls without ://, have an empty host and path, no rule, and the trees'
-verdict on empty text; repeated rows are judged alike. Nothing is shuffled.
+verdict on empty text; urls of any length are read whole; repeated rows are judged alike; an empty table has no rows;
+columns of other names, `host`, `path`, `rule` and `verdict` among them, play no part. Nothing is shuffled.
 """
 
 from __future__ import annotations

@@ -186,6 +186,78 @@ def test_media_codecs_and_pages(spark):
     assert [r.page for r in rows if r.error is None] == [0, 1] and sum(r.error is not None for r in rows) == 2
 
 
+def test_media_codecs_of_the_specification():
+    """The examples that the TIFF specification gives of PackBits and LZW, and LZW by a decoder of its own."""
+    packed, plain = bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA"), bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22" + "AA" * 10)
+    assert media.unpackbits(packed) == plain == media.unpackbits(media.packbits(plain))
+    assert media.unpackbits(b"\x80\x00\x41") == b"A"
+    codes = [256, 7, 258, 8, 8, 258, 6, 6, 257]
+    bits = "".join(f"{c:09b}" for c in codes)
+    raw = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    assert media.lzw(bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])) == raw and media.unlzw(raw) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+
+    def plain_unlzw(data):
+        bits, at, out, table, old, width = "".join(f"{b:08b}" for b in data), 0, b"", {}, None, 9
+        while True:
+            code, at = int(bits[at : at + width], 2), at + width
+            if code == 257:
+                return out
+            if code == 256:
+                table, old, width = {i: bytes([i]) for i in range(256)} | {256: b"", 257: b""}, None, 9
+                continue
+            word = table[code] if code in table else old + old[:1]
+            out += word
+            if old is not None:
+                table[len(table)] = old + word[:1]
+            width = 9 + sum(len(table) >= n for n in (511, 1023, 2047))
+            old = word
+
+    rng = random.Random(5)
+    for n in (0, 1, 2, 300, 600, 5000, 60_000):
+        for letters in (b"ab", bytes(range(256))):
+            x = bytes(rng.choice(letters) for _ in range(n))
+            assert media.unlzw(media.lzw(x)) == x and (n > 5000 or plain_unlzw(media.lzw(x)) == x)
+            assert media.unpackbits(media.packbits(x)) == x
+
+
+def test_media_paths_meet_all_sizes():
+    found = collections.Counter()
+    for i in range(300):
+        raw = media.payload(b"x y z %d " % i * (1 + i % 3 * 2000))
+        ((order, fields),) = media.directories(media.stored(raw))
+        found[fields[media.COMPRESSION][0], fields[media.PREDICTOR][0], media.TILE_OFFSETS in fields, len(raw) > 1000] += 1
+        assert media.pixels(media.stored(raw), order, fields).tobytes() == raw
+    assert len(found) == 20
+
+
+def test_media_damage(spark):
+    import numpy as np
+
+    x = np.arange(64 * 70, dtype=np.uint8).reshape(70, 64)
+    whole = media.written([media.Page(x, media.LZW, 2), media.Page(x, media.DEFLATE, 1, (32, 32))])
+
+    def changed(page, **to):
+        (at,) = __import__("struct").unpack_from("<I", whole, 4)
+        raw = bytearray(whole)
+        for _ in range(page):
+            (n,) = __import__("struct").unpack_from("<H", raw, at)
+            (at,) = __import__("struct").unpack_from("<I", raw, at + 2 + 12 * n)
+        (n,) = __import__("struct").unpack_from("<H", raw, at)
+        for i in range(n):
+            tag, _, _, _ = __import__("struct").unpack_from("<HHII", raw, at + 2 + 12 * i)
+            if f"t{tag}" in to:
+                __import__("struct").pack_into("<I", raw, at + 2 + 12 * i + 8, to[f"t{tag}"])
+        return raw
+
+    damaged = [changed(0, t278=0), changed(0, t256=0), changed(0, t256=1 << 30, t257=1 << 30), changed(0, t257=10_000), changed(0, t259=99), changed(0, t279=1 << 20), changed(0, t258=12), whole[:300]]
+    rows = media.pages(spark.createDataFrame([(i, bytearray(m)) for i, m in enumerate(damaged)], "id int, media binary")).collect()
+    assert sorted(r.id for r in rows) == list(range(len(damaged))) and all(r.error and r.data is None for r in rows)
+    second = [changed(1, t322=0), changed(1, t323=0), changed(1, t257=1000)]
+    rows = media.pages(spark.createDataFrame([(i, bytearray(m)) for i, m in enumerate(second)], "id int, media binary")).collect()
+    assert sorted((r.id, r.page, r.error is None) for r in rows) == [(i, p, p == 0) for i in range(3) for p in (0, 1)]
+    assert media.pages(spark.createDataFrame([], "id int, media binary")).count() == 0
+
+
 @pytest.mark.parametrize("tile", [None, (16, 32)])
 def test_media_pages_are_covered(tile):
     import numpy as np
