@@ -16,6 +16,8 @@ from itemloom.plans.keys import Index, Key, TableSchema, bounds
 
 #: Key lists up to this many rows are broadcast; longer ones are joined by shuffle.
 BROADCAST_KEYS = 100_000
+#: Keys up to this many become literals of the scan.
+MOST_LITERALS = 200
 
 
 @dataclass
@@ -154,8 +156,10 @@ class Table:
     def transact_get(self, keys: list[Item]) -> DataFrame:
         """One row per key, with its position in `ord`; the attributes are NULL where nothing was found."""
         frame = self._keys_frame(keys)
-        found = self.batch_get(keys)  # at most one row a key, so the small side is known on both sides
-        return frame.join(found, self._matched(frame), "left").select(F.col("__ord").alias("ord"), *self.df.columns)
+        found = self.df
+        if len(keys) <= BROADCAST_KEYS:  # the partition keys reach the scan, so few rows meet the keys
+            found = self.df.where(self.binding.column(self.schema.pk.name).isin([self._literal(self.schema.pk, k[self.schema.pk.name]) for k in keys])) if len(keys) <= MOST_LITERALS else self.batch_get(keys)
+        return frame.join(found, self._matched(frame), "left").select(F.col("__ord").alias("ord"), *[F.col(f"`{c}`") for c in self.df.columns])
 
     # writes: new states of the table
 
@@ -178,6 +182,14 @@ class Table:
         frame = self._keys_frame(keys)
         return self._with(self.df.join(F.broadcast(frame) if len(keys) <= BROADCAST_KEYS else frame, self._matched(frame), "left_anti"))
 
+    def write(self, puts: DataFrame, deletes: list[Item], small: bool = False) -> "Table":
+        """A batch of puts and deletes of different keys, as one overlay."""
+        keys = [k.name for k in self.schema.keys()]
+        frame = self._keys_frame(deletes)
+        gone = frame.select(*[F.col(f"__k{i}").alias(k) for i, k in enumerate(keys)]).unionByName(puts.select(*keys))
+        kept = self.df.join(F.broadcast(gone) if small else gone, keys, "left_anti")
+        return self._with(kept.select(*self.df.columns).unionByName(puts.select(*self.df.columns)))
+
     def latest(self, changes: DataFrame, order: str) -> "Table":
         """Bulk load: the last change of each key, by `order`, then as put."""
         keys = [k.name for k in self.schema.keys()]

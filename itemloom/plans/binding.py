@@ -4,7 +4,9 @@ TypedBinding: each column is an attribute (string, timestamp, date: S; numbers:
 BOOL; array: L, or a set where declared; map and struct: M), and NULL means absent. Comparisons are on the
 bare column with a literal of its own type, so they reach the Parquet scan.
 
-ItemBinding: a column of type map<string,string> holds canonical text of each attribute.
+ItemBinding: a column of type map<string,string> holds canonical text of each attribute. A value's type is how its
+text begins; JSON is parsed only where a string has escapes, and for lists and sets. Numbers are compared as doubles,
+and where these are equal by 38 digits (magnitudes up to 1e308).
 """
 
 from __future__ import annotations
@@ -148,15 +150,18 @@ class ItemBinding:
     def exists(self, name: str) -> Column:
         return F.map_contains_key(self.item, F.lit(name))
 
-    def tag(self, name: str) -> Column:
-        return F.element_at(F.json_object_keys(self.column(name)), 1)
+    def is_tag(self, name: str, tag: str) -> Column:
+        return self.column(name).startswith(f'{{"{tag}":')
 
     def body(self, name: str, tag: str) -> Column:
-        return F.get_json_object(self.column(name), f"$.{tag}")
-
-    def _sortable(self, name: str, tag: str) -> Column:
-        text = self.body(name, tag)
-        return text.try_cast("double") if tag == "N" else text
+        """The inner value's text, NULL if the attribute is of another type."""
+        c = self.column(name)
+        if tag in ("S", "N", "B"):
+            plain = F.substring(c, F.lit(7), F.length(c) - 8)
+            plain = F.when(c.contains("\\"), F.get_json_object(c, f"$.{tag}")).otherwise(plain) if tag != "B" else plain
+        else:
+            plain = F.get_json_object(c, f"$.{tag}")
+        return F.when(self.is_tag(name, tag), plain)
 
     def equal(self, name: str, value: Value) -> Column:
         return self.column(name) == text_of(value)
@@ -165,22 +170,39 @@ class ItemBinding:
         tag = tag_of(value)
         if tag not in ("N", "S"):
             return F.lit(None).cast("boolean")
-        a, b = self._sortable(name, tag), F.lit(float(number(value["N"])) if tag == "N" else value["S"])
-        return {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
+        if tag == "N":
+            number(value["N"])
+        return self._compared(self.body(name, tag), F.lit(value[tag]), op, tag)
+
+    @staticmethod
+    def _compared(a: Column, b: Column, op: str, tag: str) -> Column:
+        if tag == "S":
+            return {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
+        x, y = a.try_cast("double"), b.try_cast("double")
+        # Rounding never turns an order round, so unequal doubles decide; equal ones have the same magnitude.
+        move = F.when(x == 0, F.lit(0)).otherwise(-F.floor(F.log10(F.abs(x))))
+
+        def digits(t: Column) -> Column:
+            t = F.btrim(t)
+            power = F.coalesce(F.regexp_extract(t, "[eE](.+)$", 1).try_cast("int"), F.lit(0))
+            return F.concat(F.regexp_extract(t, "^([^eE]*)", 1), F.lit("E"), (power + move).cast("string")).try_cast("decimal(38,37)")
+
+        p, q = digits(a), digits(b)
+        if op in ("<=", ">="):
+            return F.when(x != y, x < y if op == "<=" else x > y).otherwise(p <= q if op == "<=" else p >= q)
+        return F.when(x != y, x < y if op == "<" else x > y).otherwise(p < q if op == "<" else p > q)
 
     def compare(self, op: str, left: str, right: str) -> Column:
         a, b = self.column(left), self.column(right)
         if op in ("=", "<>"):
             return a == b if op == "=" else a != b
-        out = None
-        for tag in ("N", "S"):
-            x, y = self._sortable(left, tag), self._sortable(right, tag)
-            c = {"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]
-            out = c if out is None else F.coalesce(out, c)
-        return out
+        return F.coalesce(*[self._compared(self.body(left, tag), self.body(right, tag), op, tag) for tag in ("N", "S")])
 
     def begins_with(self, name: str, value: Value) -> Column:
-        return self.body(name, "S").startswith(value["S"]) if "S" in value else F.lit(None).cast("boolean")
+        if "S" not in value:
+            return F.lit(None).cast("boolean")
+        # An escaped text begins with its escaped beginning, and with no other.
+        return F.when(self.is_tag(name, "S"), self.column(name).startswith(text_of(value)[:-2]))
 
     def contains(self, name: str, value: Value) -> Column:
         tag = tag_of(value)
@@ -193,7 +215,7 @@ class ItemBinding:
         return found
 
     def type_is(self, name: str, tag: str) -> Column:
-        return self.tag(name) == tag
+        return self.is_tag(name, tag)
 
 
 Binding = TypedBinding | ItemBinding

@@ -180,20 +180,29 @@ def _present(c: Column, name: str) -> Column:
 
 
 def item_update(item: str, u: X.Update, where: X.Condition | None = None) -> Column:
-    """The map column after an update of the items that satisfy a condition; evaluated in Arrow batches, since numbers have 38 digits."""
-    def one(stored: dict | None) -> dict | None:
-        if stored is None:
-            return None
-        now = {k: value_of(v) for k, v in dict(stored).items()}
-        if where is not None and not evaluate.holds(where, now):
-            return dict(stored)
-        return {k: text_of(v) for k, v in evaluate.updated(u, now).items()}
-
-    @F.pandas_udf("map<string,string>")
-    def apply(items: pd.Series) -> pd.Series:
-        return items.map(one)
-
-    return apply(F.col(item))
+    """The map column after an update of the items that satisfy a condition.
+
+    The condition is compiled; only the attributes that the update reads or writes, of items that it hits, go through
+    Arrow batches, since numbers have 38 digits. All others keep their text.
+    """
+    written = sorted(set(u.names()))
+    reads = sorted(set(written) | X.paths([r for _, r in u.sets]))
+
+    @F.pandas_udf("array<string>")
+    def apply(hit: pd.Series, *columns: pd.Series) -> pd.Series:
+        out: list = [None] * len(hit)
+        for i, (now, *texts) in enumerate(zip(hit, *columns)):
+            if now:
+                done = evaluate.updated(u, {n: value_of(t) for n, t in zip(reads, texts) if t is not None})
+                out[i] = [text_of(done[n]) if n in done else None for n in written]
+        return pd.Series(out, dtype=object)
+
+    c = F.col(item)
+    hit = c.isNotNull() & (truth(where, ItemBinding(item)) if where is not None else F.lit(True))
+    new = apply(hit, *[F.try_element_at(c, F.lit(n)) for n in reads])
+    kept = F.map_filter(c, lambda k, _: ~k.isin(written))
+    changed = F.map_filter(F.map_from_arrays(F.array(*[F.lit(n) for n in written]), new), lambda _, v: v.isNotNull())
+    return F.when(hit, F.map_concat(kept, changed)).otherwise(c)
 
 
 def project(df: DataFrame, names: list[str] | None, b: Binding, item: str = "item") -> DataFrame:

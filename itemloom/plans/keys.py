@@ -23,6 +23,7 @@ class Index:
     local: bool = False
     serveable: bool = True
     reason: str = ""
+    projection: dict = field(default_factory=dict, hash=False, compare=False)  # as it was asked for; reads return whole items
 
 
 @dataclass(frozen=True)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from itemloom.errors import ConditionalCheckFailed, ItemError, ResourceNotFound, TransactionCanceled
+from itemloom.operators.api import Engine
 from itemloom.operators.frame import Table, values
 from itemloom.plans import compile as C
 from itemloom.plans import expressions as X
@@ -32,7 +37,12 @@ NL = {"#l": "lang"}
 
 # ---------------------------------------------------------------- keyed reads
 
-_add("get_item", "SELECT * FROM orders WHERE o_custkey = 370 AND o_orderkey = 1", "cust_orders", lambda t: t.get(V(o_custkey=370, o_orderkey=1)))
+def _get_item(t: Table) -> DataFrame:
+    key = t.df.orderBy("o_orderkey", "o_custkey").select("o_custkey", "o_orderkey").first()
+    return t.get(V(o_custkey=key.o_custkey, o_orderkey=key.o_orderkey))
+
+
+_add("get_item", "SELECT * FROM orders ORDER BY o_orderkey, o_custkey LIMIT 1", "cust_orders", _get_item)
 _add("get_item_hash_only", "SELECT * FROM customer WHERE c_custkey = 77", "customers", lambda t: t.get(V(c_custkey=77)))
 _add("batch_get", f"SELECT {EVENTS} FROM events WHERE (user_id, event_id) IN (SELECT user_id, event_id FROM events WHERE event_id IN (5, 40, 77, 123, 500)) AND event_id IN (5, 40, 77, 123, 500)", "user_events",
      lambda t: t.batch_get([{"user_id": {"N": str(u)}, "event_id": {"N": str(e)}} for u in range(0, 200) for e in (5, 40, 77, 123, 500)]).select("event_id", "user_id", "event_type", "value"))
@@ -42,12 +52,25 @@ _add("transact_get", "SELECT ord, c_name, c_mktsegment FROM (VALUES (0, 5), (1,
 # ---------------------------------------------------------------- key conditions
 
 _add("query_pk", f"SELECT {EVENTS} FROM events WHERE user_id = 12", "user_events", lambda t: t.query("user_id = :u", values=V(u=12), projection=EVENTS.replace("value", "#v"), names={"#v": "value"}))
-for _name, _op in (("eq", "="), ("lt", "<"), ("le", "<="), ("gt", ">"), ("ge", ">=")):
+for _name, _op in (("lt", "<"), ("le", "<="), ("gt", ">"), ("ge", ">=")):
     _add(f"query_sk_{_name}", f"SELECT {EVENTS} FROM events WHERE user_id = 12 AND event_id {_op} 300", "user_events",
          lambda t, op=_op: t.query(f"user_id = :u AND event_id {op} :e", values=V(u=12, e=300), projection=EVENTS.replace("value", "#v"), names={"#v": "value"}))
 _add("query_sk_between", f"SELECT {EVENTS} FROM events WHERE user_id = 12 AND event_id BETWEEN 100 AND 700", "user_events", lambda t: t.query("user_id = :u AND event_id BETWEEN :a AND :b", values=V(u=12, a=100, b=700), projection=EVENTS.replace("value", "#v"), names={"#v": "value"}))
 _add("query_sk_mirrored", f"SELECT {EVENTS} FROM events WHERE user_id = 12 AND event_id > 300", "user_events", lambda t: t.query(":u = user_id AND :e < event_id", values=V(u=12, e=300), projection=EVENTS.replace("value", "#v"), names={"#v": "value"}))
-_add("query_sk_begins_with", "SELECT * FROM customer WHERE c_nationkey = 7 AND starts_with(c_name, 'Customer#00000001')", "nation_customers", lambda t: t.query("c_nationkey = :n AND begins_with(c_name, :p)", values=V(n=7, p="Customer#00000001")))
+
+
+def _sk_eq(t: Table) -> DataFrame:
+    e = t.df.orderBy("event_id").first()
+    return t.query("user_id = :u AND event_id = :e", values=V(u=e.user_id, e=e.event_id), projection=EVENTS.replace("value", "#v"), names={"#v": "value"})
+
+
+def _sk_begins_with(t: Table) -> DataFrame:
+    nation = t.df.where("c_name = 'Customer#000000011'").first().c_nationkey
+    return t.query("c_nationkey = :n AND begins_with(c_name, :p)", values=V(n=nation, p="Customer#00000001"))
+
+
+_add("query_sk_eq", f"SELECT {EVENTS} FROM events ORDER BY event_id LIMIT 1", "user_events", _sk_eq)
+_add("query_sk_begins_with", "SELECT * FROM customer WHERE c_nationkey = (SELECT c_nationkey FROM customer WHERE c_name = 'Customer#000000011') AND starts_with(c_name, 'Customer#00000001')", "nation_customers", _sk_begins_with)
 _add("query_desc_limit", f"SELECT {EVENTS} FROM events WHERE user_id = 12 ORDER BY event_id DESC LIMIT 10", "user_events", lambda t: t.query("user_id = :u", values=V(u=12), forward=False, limit=10, projection=EVENTS.replace("value", "#v"), names={"#v": "value"}))
 _add("query_filtered", f"SELECT {EVENTS} FROM events WHERE user_id = 12 AND event_type IN ('click', 'view') AND value > 10", "user_events",
      lambda t: t.query("user_id = :u", filter="event_type IN (:x, :y) AND #v > :v", values=V(u=12, x="click", y="view", v=10), names={"#v": "value"}, projection=EVENTS.replace("value", "#v")))
@@ -88,12 +111,12 @@ _filter("scan_filter_in", "o_orderpriority IN (:a, :b)", "o_orderpriority IN ('1
 _filter("scan_filter_in_numbers", "o_custkey IN (:a, :b, :c)", "o_custkey IN (3, 40, 370)", a=3, b=40, c=370)
 _filter("scan_filter_begins_with", "begins_with(o_orderpriority, :p)", "starts_with(o_orderpriority, '2')", p="2")
 _filter("scan_filter_contains", "contains(#t, :p)", "contains(text, 'rights reserved')", "docs", "doc_id, lang", "documents", {"#t": "text", **NL}, "doc_id, #l", p="rights reserved")
-_filter("scan_filter_type", "attribute_type(o_totalprice, :n) AND NOT attribute_type(o_orderstatus, :n)", "o_totalprice IS NOT NULL", n="N")
 _filter("scan_filter_fraction", "o_custkey > :x AND o_custkey <= :y", "o_custkey > 99.5 AND o_custkey <= 120.7", x=99.5, y=120.7)
 _filter("scan_filter_type_mismatch", "o_totalprice <> :s AND NOT o_custkey = :s", "o_totalprice IS NOT NULL", s="x")
 _filter("scan_filter_paths", "l_extendedprice < l_quantity OR l_discount = l_tax", "l_extendedprice < l_quantity OR l_discount = l_tax", "lines", "l_orderkey, l_linenumber, l_discount", "lineitem")
 _filter("scan_filter_lineitem_in", "l_returnflag IN (:a, :b) AND l_quantity < :q", "l_returnflag IN ('A', 'R') AND l_quantity < 5", "lines", "l_orderkey, l_linenumber, l_quantity", "lineitem", a="A", b="R", q=5)
 _filter("scan_attr_exists", "attribute_exists(quality)", "quality IS NOT NULL", "doc_labels", "doc_id, lang, n_chars, quality, toxic", LABELLED, NL, LABEL_COLUMNS)
+_filter("scan_filter_type", "attribute_type(quality, :n) AND NOT attribute_type(#l, :n) AND attribute_type(#l, :s)", "quality IS NOT NULL", "doc_labels", "doc_id, lang, n_chars, quality, toxic", LABELLED, NL, LABEL_COLUMNS, n="N", s="S")
 _filter("scan_attr_not_exists", "attribute_not_exists(quality)", "quality IS NULL", "doc_labels", "doc_id, lang, n_chars", LABELLED, NL, "doc_id, #l, n_chars")
 _filter("scan_unknown_attr", "attribute_not_exists(nothing) AND NOT nothing = :v", "true", "doc_labels", "doc_id, lang, n_chars", LABELLED, NL, "doc_id, #l, n_chars", v=1)
 _filter("scan_not_missing", "NOT quality = :v", "quality IS NULL OR quality <> 1", "doc_labels", "doc_id, lang, n_chars", LABELLED, NL, BARE_COLUMNS, v=1)
@@ -141,19 +164,12 @@ _add("gsi_page2_ties", "SELECT * FROM part WHERE p_brand = 'Brand#11' AND (p_siz
 _add("gsi_filtered", "SELECT doc_id, n_chars FROM documents WHERE lang = 'de' AND n_chars < 2000 AND source <> 'src0'", "docs", lambda t: t.query("#l = :l AND n_chars < :n", filter="#s <> :s", index="by_lang", names={"#l": "lang", "#s": "source"}, values=V(l="de", n=2000, s="src0"), projection="doc_id, n_chars"))
 
 
-def _backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived key column of an index that is added later; items without the attribute stay out of it."""
-    items = _items(spark, sf_dir)
-    return items.withColumn("quality_key", F.get_json_object(F.try_element_at("item", F.lit("quality")), "$.N").cast("int")).where("quality_key IS NOT NULL").select("doc_id", "quality_key")
-
-
 def _drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = open_table(spark, sf_dir, "customers")
     wrong = F.when(F.col("c_custkey") % 10 == 0, F.lit(None)).otherwise(F.col("c_mktsegment"))
     return t.drift(t.df.withColumn("segment_key", wrong), {"segment_key": F.col("c_mktsegment")})
 
 
-QUERIES["gsi_backfill"], ORACLE_SQL["gsi_backfill"] = _backfill, "SELECT doc_id, quality AS quality_key FROM labels WHERE quality IS NOT NULL AND doc_id IN (SELECT doc_id FROM documents)"
 QUERIES["gsi_drift_check"], ORACLE_SQL["gsi_drift_check"] = _drift, "SELECT count(*) FILTER (c_custkey % 10 = 0) AS mismatches, count(*) AS checked FROM customer"
 
 # ---------------------------------------------------------------- updates
@@ -216,6 +232,206 @@ _add("put_overlay", f"SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 10 =
      lambda t: t.put(t.df.where("o_orderkey % 10 = 0").withColumn("o_totalprice", F.col("o_totalprice") * 2)).df.select(*_ORDERS.split(", ")))
 _add("delete_keys", "SELECT * FROM customer WHERE c_custkey NOT IN (1, 5, 9)", "customers", lambda t: t.delete([V(c_custkey=k) for k in (1, 5, 9)]).df)
 _add("batch_write", "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey NOT IN (2, 3) UNION ALL SELECT 2, 'new', 1.5", "customers",
-     lambda t: t.delete([V(c_custkey=3)]).put(t.df.where("c_custkey = 2").withColumn("c_name", F.lit("new")).withColumn("c_acctbal", F.lit(1.5))).df.select("c_custkey", "c_name", "c_acctbal"))
+     lambda t: t.write(t.df.where("c_custkey = 2").withColumn("c_name", F.lit("new")).withColumn("c_acctbal", F.lit(1.5)), [V(c_custkey=3)], small=True).df.select("c_custkey", "c_name", "c_acctbal"))
 _add("bulk_load_latest", "SELECT user_id, event_id, event_type, value FROM events", "user_events",
      lambda t: t.latest(t.df.withColumn("seq", F.lit(1)).unionByName(t.df.withColumn("seq", F.lit(0)).withColumn("value", F.lit(-1.0))), "seq").df.select("user_id", "event_id", "event_type", "value"))
+
+# ---------------------------------------------------------------- the item API
+
+
+def _warehouse(spark: SparkSession) -> str:
+    """A folder of its own, where all executors can write: beside the checkpoints, or in local runs without such a folder a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{base or tempfile.mkdtemp(prefix='itemloom-')}/warehouse-{uuid.uuid4().hex}"
+
+
+def _key_schema(pk: str, sk: str | None = None) -> list[dict]:
+    return [{"AttributeName": pk, "KeyType": "HASH"}] + ([{"AttributeName": sk, "KeyType": "RANGE"}] if sk else [])
+
+
+def _defined(**kinds: str) -> list[dict]:
+    return [{"AttributeName": n, "AttributeType": k} for n, k in kinds.items()]
+
+
+def _engine(spark: SparkSession, sf_dir: str) -> Engine:
+    """An engine with the customers as items of the table `clients`."""
+    db = Engine(spark, _warehouse(spark))
+    db.execute("CreateTable", {"TableName": "clients", "KeySchema": _key_schema("c_custkey"), "AttributeDefinitions": _defined(c_custkey="N")})
+    df = open_table(spark, sf_dir, "customers").df
+    db.store.load("clients", df.select(C.item_of({n: F.col(n) for n in df.columns}, {f.name: f.dataType for f in df.schema.fields}).alias("item")))
+    return db
+
+
+def _stored(db: Engine, table: str, **kinds: str) -> DataFrame:
+    """Attributes of all items as columns."""
+    b = ItemBinding("item")
+    return db.store.read(db.store.state().table(table)).select(*[b.body(n, "N" if k != "string" else "S").cast(k).alias(n) for n, k in kinds.items()])
+
+
+def _plain_items(spark: SparkSession, items: list[dict], ddl: str) -> DataFrame:
+    """Returned items as rows; numbers are read as what ddl says."""
+    kinds = [f.split(" ") for f in ddl.split(", ")]
+
+    def one(v: dict | None, kind: str) -> object:
+        body = None if v is None else next(iter(v.values()))
+        return body if body is None or kind == "string" else float(body) if kind == "double" else int(body)
+
+    return spark.createDataFrame([tuple(one(i.get(n), k) for n, k in kinds) for i in items], ddl)
+
+
+def _refused(error: type[ItemError], run: Callable[[], object]) -> ItemError:
+    try:
+        run()
+    except error as e:
+        return e
+    raise AssertionError(f"{error.__name__} was expected")
+
+
+def _conditional_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conditional puts and deletes, those that are refused included."""
+    db = _engine(spark, sf_dir)
+    of = lambda k: {"TableName": "clients", "Key": V(c_custkey=k)}
+    put = lambda k, **more: {"TableName": "clients", "Item": V(c_custkey=k, c_name="put", c_acctbal=0.5), **more}
+    _refused(ConditionalCheckFailed, lambda: db.execute("PutItem", put(1, ConditionExpression="attribute_not_exists(c_custkey)")))
+    db.execute("PutItem", put(2, ConditionExpression="attribute_exists(c_name) AND NOT c_name = :n", ExpressionAttributeValues={":n": {"S": "put"}}))
+    db.execute("PutItem", put(-7, ConditionExpression="attribute_not_exists(c_custkey)"))
+    for k in range(3, 9):
+        condition = {"ConditionExpression": "c_acctbal < :z OR c_mktsegment IN (:a, :b)", "ExpressionAttributeValues": {":z": {"N": "0"}, ":a": {"S": "BUILDING"}, ":b": {"S": "MACHINERY"}}}
+        with suppress(ConditionalCheckFailed):
+            db.execute("DeleteItem", {**of(k), **condition})
+    return _stored(db, "clients", c_custkey="long", c_name="string", c_acctbal="double")
+
+
+QUERIES["api_conditional_writes"] = _conditional_writes
+ORACLE_SQL["api_conditional_writes"] = """SELECT c_custkey, CASE WHEN c_custkey = 2 THEN 'put' ELSE c_name END AS c_name, CASE WHEN c_custkey = 2 THEN 0.5 ELSE c_acctbal END AS c_acctbal FROM customer
+WHERE NOT (c_custkey BETWEEN 3 AND 8 AND (c_acctbal < 0 OR c_mktsegment IN ('BUILDING', 'MACHINERY'))) UNION ALL SELECT -7, 'put', 0.5"""
+
+
+def _return_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The images that puts, updates and deletes return, and that of a refused one."""
+    db = _engine(spark, sf_dir)
+    key = lambda k: {"TableName": "clients", "Key": V(c_custkey=k)}
+    update = {"UpdateExpression": "SET c_acctbal = c_acctbal + :d REMOVE c_mktsegment", "ExpressionAttributeValues": {":d": {"N": "0.25"}}}
+    images = [db.execute("UpdateItem", {**key(k), **update, "ReturnValues": mode}).get("Attributes", {}) for k, mode in ((1, "ALL_OLD"), (2, "ALL_NEW"), (3, "UPDATED_OLD"), (4, "UPDATED_NEW"), (5, "NONE"))]
+    images.append(db.execute("PutItem", {"TableName": "clients", "Item": V(c_custkey=6), "ReturnValues": "ALL_OLD"})["Attributes"])
+    images.append(db.execute("DeleteItem", {**key(7), "ReturnValues": "ALL_OLD"})["Attributes"])
+    images.append(_refused(ConditionalCheckFailed, lambda: db.execute("DeleteItem", {**key(8), "ConditionExpression": "c_name = :x", "ExpressionAttributeValues": {":x": {"S": "x"}}, "ReturnValuesOnConditionCheckFailure": "ALL_OLD"})).item)
+    return _plain_items(spark, [{"n": {"N": str(i)}, **x} for i, x in enumerate(images, 1)], "n int, c_custkey long, c_name string, c_acctbal double, c_mktsegment string")
+
+
+QUERIES["api_return_values"] = _return_values
+ORACLE_SQL["api_return_values"] = """SELECT n, CASE WHEN n NOT IN (3, 4, 5) THEN c_custkey END AS c_custkey, CASE WHEN n NOT IN (3, 4, 5) THEN c_name END AS c_name,
+CASE WHEN n IN (2, 4) THEN c_acctbal + 0.25 WHEN n <> 5 THEN c_acctbal END AS c_acctbal, CASE WHEN n NOT IN (2, 4, 5) THEN c_mktsegment END AS c_mktsegment
+FROM customer JOIN range(1, 9) r(n) ON c_custkey = n"""
+
+
+def _transact_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A transaction over two tables, then two that are cancelled, and what both tables hold."""
+    db = _engine(spark, sf_dir)
+    db.execute("CreateTable", {"TableName": "audits", "KeySchema": _key_schema("audit", "line"), "AttributeDefinitions": _defined(audit="S", line="N")})
+    key = lambda k: {"TableName": "clients", "Key": V(c_custkey=k)}
+    audit = lambda i: {"Put": {"TableName": "audits", "Item": {"audit": {"S": "a"}, "line": {"N": str(i)}}}}
+    given = {"ExpressionAttributeValues": {":d": {"N": "100"}}}
+    moved = [{"Update": {**key(1), "UpdateExpression": "SET c_acctbal = c_acctbal - :d", **given}}, {"Update": {**key(2), "UpdateExpression": "SET c_acctbal = c_acctbal + :d", **given}}]
+    check = {"ConditionCheck": {**key(4), "ConditionExpression": "attribute_exists(c_name)"}}
+    db.execute("TransactWriteItems", {"TransactItems": [*moved, {"Delete": key(3)}, check, audit(1)]})
+    failed = _refused(TransactionCanceled, lambda: db.execute("TransactWriteItems", {"TransactItems": [*moved, {"ConditionCheck": {**key(3), "ConditionExpression": "attribute_exists(c_name)"}}, audit(2)]}))
+    missing = _refused(TransactionCanceled, lambda: db.execute("TransactWriteItems", {"TransactItems": [audit(3), {"Delete": {"TableName": "nowhere", "Key": V(k=1)}}]}))
+    codes = spark.createDataFrame([(f"{n}/{i}", None, r["Code"]) for n, x in enumerate((failed, missing)) for i, r in enumerate(x.reasons)], "what string, amount double, note string")
+    audits = db.store.read(db.store.state().table("audits")).select(F.lit("audit").alias("what"), F.lit(None).cast("double").alias("amount"), ItemBinding("item").body("line", "N").alias("note"))
+    return _stored(db, "clients", c_custkey="string", c_acctbal="double").select(F.lit("client").alias("what"), F.col("c_acctbal").alias("amount"), F.lit(None).cast("string").alias("note")).union(audits).union(codes)
+
+
+QUERIES["api_transact_write"] = _transact_write
+ORACLE_SQL["api_transact_write"] = """SELECT 'client' AS what, c_acctbal + CASE c_custkey WHEN 1 THEN -100 WHEN 2 THEN 100 ELSE 0 END AS amount, NULL::VARCHAR AS note FROM customer WHERE c_custkey <> 3
+UNION ALL SELECT 'audit', NULL, '1'
+UNION ALL SELECT * FROM (VALUES ('0/0', NULL, 'None'), ('0/1', NULL, 'None'), ('0/2', NULL, 'ConditionalCheckFailed'), ('0/3', NULL, 'None'), ('1/0', NULL, 'None'), ('1/1', NULL, 'ResourceNotFound'))"""
+
+
+def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BatchWriteItem, BatchGetItem with misses, and TransactGetItems."""
+    db = _engine(spark, sf_dir)
+    writes = [{"PutRequest": {"Item": V(c_custkey=k, c_name="new")}} for k in range(1, 11)] + [{"DeleteRequest": {"Key": V(c_custkey=k)}} for k in range(11, 21)]
+    db.execute("BatchWriteItem", {"RequestItems": {"clients": writes}})
+    got = db.execute("BatchGetItem", {"RequestItems": {"clients": {"Keys": [V(c_custkey=k) for k in range(8, 26)], "ProjectionExpression": "c_custkey, c_name"}}})["Responses"]["clients"]
+    both = db.execute("TransactGetItems", {"TransactItems": [{"Get": {"TableName": "clients", "Key": V(c_custkey=k)}} for k in (30, 11, 31)]})["Responses"]
+    return _plain_items(spark, [*got, *(x.get("Item", {}) for x in both)], "c_custkey long, c_name string")
+
+
+QUERIES["api_batches"] = _batches
+ORACLE_SQL["api_batches"] = """SELECT c_custkey, CASE WHEN c_custkey <= 10 THEN 'new' ELSE c_name END AS c_name FROM customer WHERE c_custkey BETWEEN 8 AND 10 OR c_custkey BETWEEN 21 AND 25 OR c_custkey IN (30, 31)
+UNION ALL SELECT NULL, NULL"""
+
+
+def _paged(db: Engine, operation: str, **request: object) -> list[dict]:
+    """The items of all pages, by cursor."""
+    out: list[dict] = []
+    start: dict | None = None
+    while True:
+        page = db.execute(operation, {"TableName": "clients", **request, **({"ExclusiveStartKey": start} if start else {})})
+        out += page["Items"]
+        start = page.get("LastEvaluatedKey")
+        if not start:
+            return out
+
+
+def _index_added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index added to a table with rows, written through by later changes, and read page by page."""
+    db = _engine(spark, sf_dir)
+    db.execute("UpdateTable", {"TableName": "clients", "AttributeDefinitions": _defined(c_mktsegment="S", c_acctbal="N"), "GlobalSecondaryIndexUpdates": [{"Create": {"IndexName": "by_segment", "KeySchema": _key_schema("c_mktsegment", "c_acctbal")}}]})
+    db.execute("UpdateItem", {"TableName": "clients", "Key": V(c_custkey=1), "UpdateExpression": "SET c_mktsegment = :s, c_acctbal = :z", "ExpressionAttributeValues": V(**{":s": "BUILDING", ":z": 1})})
+    db.execute("UpdateItem", {"TableName": "clients", "Key": V(c_custkey=2), "UpdateExpression": "REMOVE c_mktsegment"})
+    if db.verify_index("clients", "by_segment") != {"Mismatches": 0}:
+        raise AssertionError("the index differs from its rows")
+    items = _paged(db, "Query", IndexName="by_segment", KeyConditionExpression="c_mktsegment = :s AND c_acctbal >= :z", ExpressionAttributeValues=V(**{":s": "BUILDING", ":z": 0}), ScanIndexForward=False, Limit=150)
+    return _plain_items(spark, [{**x, "place": {"N": str(i)}} for i, x in enumerate(items)], "place long, c_custkey long, c_acctbal double")
+
+
+QUERIES["api_index_added"] = _index_added
+ORACLE_SQL["api_index_added"] = """SELECT row_number() OVER (ORDER BY c_acctbal DESC, c_custkey DESC) - 1 AS place, c_custkey, c_acctbal FROM (
+SELECT c_custkey, CASE WHEN c_custkey = 1 THEN 1 ELSE c_acctbal END AS c_acctbal FROM customer WHERE (c_mktsegment = 'BUILDING' OR c_custkey = 1) AND c_custkey <> 2) WHERE c_acctbal >= 0"""
+
+
+def _backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of an index on an attribute that most items lack, added later."""
+    db = Engine(spark, _warehouse(spark))
+    db.execute("CreateTable", {"TableName": "papers", "KeySchema": _key_schema("doc_id"), "AttributeDefinitions": _defined(doc_id="N")})
+    db.store.load("papers", _items(spark, sf_dir).select("item"))
+    db.execute("UpdateTable", {"TableName": "papers", "AttributeDefinitions": _defined(quality="N"), "GlobalSecondaryIndexUpdates": [{"Create": {"IndexName": "by_quality", "KeySchema": _key_schema("quality")}}]})
+    b = ItemBinding("item")
+    return db.store.read(db.store.state().table("papers")).where("ix_by_quality_pk IS NOT NULL").select(b.body("doc_id", "N").cast("long").alias("doc_id"), b.body("quality", "N").cast("int").alias("quality_key"))
+
+
+QUERIES["gsi_backfill"], ORACLE_SQL["gsi_backfill"] = _backfill, "SELECT doc_id, quality AS quality_key FROM labels WHERE quality IS NOT NULL AND doc_id IN (SELECT doc_id FROM documents)"
+
+
+def _scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages of a filtered Scan, and all segments of another one."""
+    db = _engine(spark, sf_dir)
+    given = {"FilterExpression": "c_acctbal > :p", "ExpressionAttributeValues": {":p": {"N": "5000"}}}
+    pages = _plain_items(spark, _paged(db, "Scan", Limit=600, **given), "c_custkey long, c_name string").withColumn("how", F.lit("pages"))
+    parts = [x for i in range(2) for x in _paged(db, "Scan", Segment=i, TotalSegments=2)]
+    return pages.unionByName(_plain_items(spark, parts, "c_custkey long, c_name string").withColumn("how", F.lit("segments")))
+
+
+QUERIES["api_scan_pages"] = _scan_pages
+ORACLE_SQL["api_scan_pages"] = "SELECT c_custkey, c_name, 'pages' AS how FROM customer WHERE c_acctbal > 5000 UNION ALL SELECT c_custkey, c_name, 'segments' FROM customer"
+
+
+def _tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables are created, listed page by page, described and deleted."""
+    db = Engine(spark, _warehouse(spark))
+    for name in [f"{r.n_name.replace(' ', '_')}.{r.n_regionkey}" for r in read(spark, sf_dir, "nation").where("n_regionkey < 2").collect()]:
+        db.execute("CreateTable", {"TableName": name, "KeySchema": _key_schema("place", "year"), "AttributeDefinitions": _defined(place="S", year="N", rank="N"), "LocalSecondaryIndexes": [{"IndexName": "by_rank", "KeySchema": _key_schema("place", "rank"), "Projection": {"ProjectionType": "KEYS_ONLY"}}]})
+    first = db.execute("ListTables", {"Limit": 3})
+    rest = db.execute("ListTables", {"ExclusiveStartTableName": first["LastEvaluatedTableName"]})["TableNames"]
+    db.execute("DeleteTable", {"TableName": rest[-1]})
+    told = [db.execute("DescribeTable", {"TableName": n})["Table"] for n in [*first["TableNames"], *rest[:-1]]]
+    lost = _refused(ResourceNotFound, lambda: db.execute("DescribeTable", {"TableName": rest[-1]}))
+    rows = [(t["TableName"], t["TableStatus"], t["LocalSecondaryIndexes"][0]["Projection"]["ProjectionType"]) for t in told]
+    return spark.createDataFrame([*rows, (rest[-1], lost.code, None)], "name string, status string, projection string")
+
+
+QUERIES["api_tables"] = _tables
+ORACLE_SQL["api_tables"] = """SELECT name, CASE WHEN last THEN 'ResourceNotFoundException' ELSE 'ACTIVE' END AS status, CASE WHEN NOT last THEN 'KEYS_ONLY' END AS projection
+FROM (SELECT replace(n_name, ' ', '_') || '.' || n_regionkey AS name, row_number() OVER (ORDER BY replace(n_name, ' ', '_') || '.' || n_regionkey DESC) = 1 AS last FROM nation WHERE n_regionkey < 2)"""

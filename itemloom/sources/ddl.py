@@ -12,6 +12,14 @@ RESERVED_PREFIX = "_"
 PROJECTIONS = ("ALL", "KEYS_ONLY", "INCLUDE")
 
 
+def listed(request: dict, name: str) -> list[dict]:
+    """A list of objects of a request; empty if it isn't given."""
+    found = request.get(name) or []
+    if not isinstance(found, list) or not all(isinstance(x, dict) for x in found):
+        raise ValidationError(f"{name} is a list of objects")
+    return found
+
+
 def table_name(name: object) -> str:
     if not isinstance(name, str) or not re.fullmatch(r"[a-zA-Z0-9_.\-]{3,255}", name):
         raise ValidationError("a table name has 3 to 255 of a-z, A-Z, 0-9, _, . and -")
@@ -28,7 +36,7 @@ def index_name(name: object) -> str:
 
 def attribute_types(request: dict) -> dict[str, str]:
     out: dict[str, str] = {}
-    for d in request.get("AttributeDefinitions") or []:
+    for d in listed(request, "AttributeDefinitions"):
         name, kind = d.get("AttributeName"), d.get("AttributeType")
         if not isinstance(name, str) or not 1 <= len(name.encode()) <= 255:
             raise ValidationError("an attribute name has 1 to 255 bytes")
@@ -41,7 +49,7 @@ def attribute_types(request: dict) -> dict[str, str]:
 
 
 def key_schema(entries: object, types: dict[str, str]) -> tuple[Key, Key | None]:
-    if not isinstance(entries, list) or not 1 <= len(entries) <= 2:
+    if not isinstance(entries, list) or not 1 <= len(entries) <= 2 or not all(isinstance(e, dict) for e in entries):
         raise ValidationError("a key schema has one or two entries")
     if [e.get("KeyType") for e in entries] != ["HASH", "RANGE"][: len(entries)]:
         raise ValidationError("a key schema is HASH, then perhaps RANGE")
@@ -57,10 +65,13 @@ def key_schema(entries: object, types: dict[str, str]) -> tuple[Key, Key | None]
 
 def index(spec: dict, types: dict[str, str], local: bool, pk: Key, sk: Key | None) -> Index:
     name = index_name(spec.get("IndexName"))
-    own = Index(name, *key_schema(spec.get("KeySchema"), types), local=local)
-    kind = (spec.get("Projection") or {}).get("ProjectionType", "ALL")
-    if kind not in PROJECTIONS:
-        raise ValidationError(f"unknown projection {kind}")
+    projection = spec.get("Projection") or {"ProjectionType": "ALL"}
+    if not isinstance(projection, dict) or projection.get("ProjectionType", "ALL") not in PROJECTIONS:
+        raise ValidationError(f"unknown projection {projection}")
+    others = projection.get("NonKeyAttributes")
+    if (projection.get("ProjectionType") == "INCLUDE") != bool(others) or others and not (isinstance(others, list) and all(isinstance(x, str) for x in others)):
+        raise ValidationError("INCLUDE, and only that, takes a list of other attributes")
+    own = Index(name, *key_schema(spec.get("KeySchema"), types), local=local, projection=projection)
     if local:
         if sk is None:
             raise ValidationError("a local index needs a table with a sort key")
@@ -76,7 +87,7 @@ def create(request: dict) -> tuple[TableSchema, dict]:
     name = table_name(request.get("TableName"))
     types = attribute_types(request)
     pk, sk = key_schema(request.get("KeySchema"), types)
-    locals_, globals_ = request.get("LocalSecondaryIndexes") or [], request.get("GlobalSecondaryIndexes") or []
+    locals_, globals_ = listed(request, "LocalSecondaryIndexes"), listed(request, "GlobalSecondaryIndexes")
     if len(locals_) > MAX_LOCAL_INDEXES:
         raise ValidationError(f"a table has at most {MAX_LOCAL_INDEXES} local indexes")
     indexes: dict[str, Index] = {}
@@ -90,7 +101,16 @@ def create(request: dict) -> tuple[TableSchema, dict]:
         raise ValidationError(f"attributes are defined but not used: {', '.join(sorted(extra))}")
     if (request.get("StreamSpecification") or {}).get("StreamEnabled"):
         raise ValidationError("streams aren't supported")
-    return TableSchema(name, pk, sk, indexes), {"BillingMode": billing(request), "Tags": request.get("Tags") or []}
+    schema = TableSchema(name, pk, sk, indexes)
+    distinct_columns(schema)
+    return schema, {"BillingMode": billing(request), "Tags": request.get("Tags") or []}
+
+
+def distinct_columns(schema: TableSchema) -> None:
+    """No two indexes may be stored in the same column: names are told apart without regard to case, as stored columns are."""
+    names = ["pk", "sk", "item", *(f"ix_{i.name}_{part}".lower() for i in schema.indexes.values() for part in ("pk", "sk"))]
+    if len(set(names)) < len(names):
+        raise ValidationError("two indexes would be stored in the same column")
 
 
 def billing(request: dict) -> str:
@@ -108,7 +128,7 @@ def billing(request: dict) -> str:
 
 def update(request: dict, schema: TableSchema) -> tuple[TableSchema, dict, list[str]]:
     """New schema, changed settings and the indexes that were added."""
-    changes = request.get("GlobalSecondaryIndexUpdates") or []
+    changes = listed(request, "GlobalSecondaryIndexUpdates")
     settings = {"BillingMode": billing(request)} if "BillingMode" in request or "ProvisionedThroughput" in request else {}
     if not changes and not settings:
         raise ValidationError("the request changes nothing")
@@ -118,7 +138,7 @@ def update(request: dict, schema: TableSchema) -> tuple[TableSchema, dict, list[
         if types.setdefault(n, kind) != kind:
             raise ValidationError(f"{n} is of type {types[n]}")
     for change in changes:
-        if len(change) != 1:
+        if len(change) != 1 or not isinstance(next(iter(change.values())), dict):
             raise ValidationError("exactly one of Create, Update and Delete is given")
         kind, spec = next(iter(change.items()))
         if kind == "Create":
@@ -134,7 +154,12 @@ def update(request: dict, schema: TableSchema) -> tuple[TableSchema, dict, list[
             del indexes[name]
         else:
             raise ValidationError(f"{kind} of an index isn't supported")
-    return TableSchema(schema.name, schema.pk, schema.sk, indexes), settings, added
+    used = {k.name for k in [*schema.keys(), *(x for i in indexes.values() for x in (i.pk, i.sk) if x)]}
+    if extra := {d["AttributeName"] for d in listed(request, "AttributeDefinitions")} - used:
+        raise ValidationError(f"attributes are defined but not used: {', '.join(sorted(extra))}")
+    after = TableSchema(schema.name, schema.pk, schema.sk, indexes)
+    distinct_columns(after)
+    return after, settings, added
 
 
 def described(schema: TableSchema, status: str, info: dict, items: int = 0) -> dict:
@@ -153,5 +178,5 @@ def described(schema: TableSchema, status: str, info: dict, items: int = 0) -> d
     for local, title in ((True, "LocalSecondaryIndexes"), (False, "GlobalSecondaryIndexes")):
         found = [i for _, i in sorted(schema.indexes.items()) if i.local == local]
         if found:
-            out[title] = [{"IndexName": i.name, "KeySchema": keys(i.pk, i.sk), "Projection": {"ProjectionType": "ALL"}} | ({} if local else {"IndexStatus": "ACTIVE" if i.serveable else "CREATING"}) for i in found]
+            out[title] = [{"IndexName": i.name, "KeySchema": keys(i.pk, i.sk), "Projection": i.projection or {"ProjectionType": "ALL"}} | ({} if local else {"IndexStatus": "ACTIVE" if i.serveable else "CREATING"}) for i in found]
     return out

@@ -1,9 +1,12 @@
 """Versioned Parquet snapshots behind one commit log.
 
 A warehouse is a folder: `_log/<n>.json` holds the whole state after commit n (every table's schema, status
-and files), and `<table>/...` the data. A commit writes its files first and then creates the next log entry,
-which fails if that exists: so a commit is all or nothing over any number of tables, readers see one
-state, and of two writers one has to start again. Everything goes through the session's file systems.
+and files), and `<table>/...` the data. A commit writes its files, then the next state aside, and then creates
+`_log/<n>.lock`, which fails if that exists: so a commit is all or nothing over any number of tables, readers see one
+state, and of two writers one has to start again. The lock names the state that was written aside; whoever finds
+a lock without its entry puts the entry into place, so a writer that dies after that point has committed.
+If it died before it could write the name, the lock is taken away once it is GRACE seconds old. Everything goes
+through the session's file systems.
 
 A table's rows are (pk, sk, item, one pair of columns per index), with key values as text in key order and
 the item as a map of canonical text. Its files are a base and small deltas of (seq, gone) rows; a read
@@ -24,10 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itemloom.errors import CommitConflict, ResourceNotFound
-from itemloom.functions.values import Item, checked_item, key_text, tag_of, text_of, value_of
+from itemloom.functions.values import Item, checked_item, key_text, order_key, tag_of, text_of, value_of
 from itemloom.plans.keys import Index, Key, TableSchema
 
 ATTEMPTS = 3
+#: Seconds after which a lock that names nothing is that of a writer that died.
+GRACE = 60
 #: Deltas after which a commit rewrites the base.
 COMPACT_AFTER = 16
 
@@ -47,7 +52,7 @@ class TableState:
     def of_json(x: dict) -> "TableState":
         s = x["schema"]
         key = lambda k: Key(**k) if k else None
-        indexes = {n: Index(i["name"], key(i["pk"]), key(i["sk"]), i["local"], i["serveable"], i["reason"]) for n, i in s["indexes"].items()}
+        indexes = {n: Index(i["name"], key(i["pk"]), key(i["sk"]), i["local"], i["serveable"], i["reason"], i.get("projection") or {}) for n, i in s["indexes"].items()}
         return TableState(TableSchema(s["name"], key(s["pk"]), key(s["sk"]), indexes), x["base"], x["deltas"], x["status"], x["info"])
 
 
@@ -107,41 +112,67 @@ class Warehouse:
     def _entry(self, version: int):
         return self._path(f"{self.path}/_log/{version:012d}.json")
 
+    def _text(self, path) -> str:
+        stream = self._fs.open(path)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _put(self, path, body: str) -> None:
+        out = self._fs.create(path, False)
+        try:
+            out.write(bytearray(body.encode()))
+        finally:
+            out.close()
+
     def state(self, version: int | None = None) -> State:
         """The current state, or an earlier one."""
         if version is None:
-            names = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.path}/_log"))]
-            version = max((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), default=0)
+            found: dict[str, list[int]] = {"json": [], "lock": []}
+            for s in self._fs.listStatus(self._path(f"{self.path}/_log")):
+                number, _, kind = s.getPath().getName().partition(".")
+                if number.isdigit() and kind in found:
+                    found[kind].append(int(number))
+            version = max(found["json"], default=0)
+            if version + 1 in found["lock"] and self._settled(version + 1):
+                return self.state()
         if version == 0:
             return State(0, {})
-        stream = self._fs.open(self._entry(version))
-        try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return State(version, {n: TableState.of_json(t) for n, t in json.loads(text).items()})
+        return State(version, {n: TableState.of_json(t) for n, t in json.loads(self._text(self._entry(version))).items()})
 
-    def commit(self, state: State, tables: dict[str, TableState]) -> State:
-        """The state that follows `state`; CommitConflict if another commit has followed it already.
+    def _lock(self, version: int):
+        return self._path(f"{self.path}/_log/{version:012d}.lock")
 
-        The entry is written aside and then renamed into place, which fails if the place is taken.
-        """
-        body = bytearray(json.dumps({n: t.as_json() for n, t in tables.items()}).encode())
-        aside = self._path(f"{self.path}/_log/.{uuid.uuid4().hex}")
-        out = self._fs.create(aside, False)
+    def _settled(self, version: int) -> bool:
+        """Put the entry into place that the lock names; a lock that names none goes when it is old. Whether the log has changed."""
+        lock = self._lock(version)
         try:
-            out.write(body)
-        finally:
-            out.close()
-        target = self._entry(state.version + 1)
-        lock = self._path(f"{self.path}/_log/{state.version + 1:012d}.lock")
+            name, age = self._text(lock), time.time() - self._fs.getFileStatus(lock).getModificationTime() / 1000
+        except Exception:  # it is gone
+            return True
+        if len(name) == 33:
+            aside = self._path(f"{self.path}/_log/{name}")
+            if not self._fs.exists(self._entry(version)) and self._fs.exists(aside):
+                self._fs.rename(aside, self._entry(version))
+            return self._fs.exists(self._entry(version))
+        return age > GRACE and self._fs.rename(lock, self._path(f"{self.path}/_log/.stale-{uuid.uuid4().hex}"))
+
+    def commit(self, state: State, tables: dict[str, TableState]) -> State:
+        """The state that follows `state`; CommitConflict if another commit has followed it already."""
+        number, name = state.version + 1, f".{uuid.uuid4().hex}"
+        aside, lock = self._path(f"{self.path}/_log/{name}"), self._lock(number)
+        self._put(aside, json.dumps({n: t.as_json() for n, t in tables.items()}))
         try:
-            self._fs.create(lock, False).close()  # the exclusive step; local renames would overwrite
+            if self._fs.exists(self._entry(number)):
+                raise CommitConflict("another commit came first")
+            self._put(lock, name)  # the exclusive step
         except Exception as e:
             self._fs.delete(aside, False)
             raise CommitConflict("another commit came first") from e
-        self._fs.rename(aside, target)
-        return State(state.version + 1, tables)
+        if not self._settled(number) or self._text(lock) != name:  # the lock was taken away while this writer stood still
+            raise CommitConflict("another commit came first")
+        return State(number, tables)
 
     def change(self, apply: Callable[[State], dict[str, TableState]]) -> State:
         """Commit what apply(state) gives; after a lost race it is asked again, on the new state."""
@@ -169,17 +200,36 @@ class Warehouse:
         kept = base.join(last.select("pk", "sk"), ["pk", "sk"], "left_anti")
         return kept.select(*[f"`{c}`" for c in columns]).unionByName(last.where("NOT gone").drop("gone"))
 
-    def fault(self, table: TableState) -> str:
-        """What is wrong with a table's files: missing, or without columns of its definition; empty if nothing is."""
-        for paths, more in ((table.base, ""), (table.deltas, ", seq long, gone boolean")):
+    def fault(self, table: TableState) -> tuple[str, dict[str, str]]:
+        """What is wrong with a table's files: missing, or without columns of the table's own (empty if nothing is); and of which indexes columns are missing."""
+        own, indexes = "", {}
+        for paths, more in ((table.base, []), (table.deltas, ["seq", "gone"])):
             for p in paths:
                 if not self._fs.exists(self._path(p)):
-                    return f"{p} is missing"
-                stored = dict(self.spark.read.parquet(p).dtypes)
-                lost = [f.split(" ")[0].strip("`") for f in (row_ddl(table.schema) + more).split(", ") if f.split(" ")[0].strip("`") not in stored]
-                if lost:
-                    return f"{p} lacks {', '.join(lost)}"
-        return ""
+                    return f"{p} is missing", indexes
+                stored = set(self.spark.read.parquet(p).columns)
+                if lost := [c for c in ("pk", "sk", "item", *more) if c not in stored]:
+                    own = f"{p} lacks {', '.join(lost)}"
+                for i in table.schema.indexes.values():
+                    if lost := [c for c, _ in index_columns(TableSchema("", table.schema.pk, None, {i.name: i})) if c not in stored]:
+                        indexes[i.name] = f"{p} lacks {', '.join(lost)}"
+        return own, indexes
+
+    def vacuum(self, keep: int = 1) -> list[str]:
+        """Delete the data that none of the last `keep` states has, unless a commit began to write it within GRACE seconds; what was deleted."""
+        now = self.state()
+        states = [now, *(self.state(v) for v in range(max(1, now.version - keep + 1), now.version))]
+        used = {p for s in states for t in s.tables.values() for p in (*t.base, *t.deltas)}
+        gone = []
+        for folder in self._fs.listStatus(self._path(self.path)):
+            if folder.getPath().getName() == "_log" or not folder.isDirectory():
+                continue
+            for data in self._fs.listStatus(folder.getPath()):
+                path = f"{self.path}/{folder.getPath().getName()}/{data.getPath().getName()}"
+                if path not in used and time.time() - data.getModificationTime() / 1000 > GRACE:
+                    self._fs.delete(data.getPath(), True)
+                    gone.append(path)
+        return gone
 
     def write_base(self, df: DataFrame, name: str) -> list[str]:
         """df as a new base, ordered by key."""
@@ -212,23 +262,32 @@ class Warehouse:
         return self.change(lambda s: {**s.tables, name: TableState(schema, base, [], "ACTIVE", s.table(name).info)})
 
 
-def derived(items: DataFrame, schema: TableSchema) -> DataFrame:
-    """Stored rows of a column `item`; keys are brought to ordered text in Arrow batches, since numbers have 38 digits."""
+def derived(items: DataFrame, schema: TableSchema, keep: list[str] | None = None) -> DataFrame:
+    """Stored rows of a column `item`, with the columns `keep` beside them.
+
+    Text and binary keys are taken from the item's text by built-in functions; numbers, which have 38 digits, are
+    brought to ordered text in Arrow batches of their digits alone.
+    """
     import pandas as pd
 
-    def ordered(key: Key):
-        def text(v: str | None) -> str | None:
-            value = value_of(v) if v is not None else None
-            return key_text(value, key.kind) if value is not None and tag_of(value) == key.kind else None
+    from itemloom.plans.binding import ItemBinding
 
-        def run(x):
-            return x.map(lambda v: text(v) if isinstance(v, str) else None)
+    def run(x):
+        return pd.Series([order_key(v) if isinstance(v, str) else None for v in x], dtype=object)
 
-        run.__annotations__ = {"x": pd.Series, "return": pd.Series}
-        return F.pandas_udf(run, "string")(F.try_element_at("item", F.lit(key.name)))
+    run.__annotations__ = {"x": pd.Series, "return": pd.Series}
+    numbers = F.pandas_udf(run, "string")
+    b = ItemBinding("item")
+
+    def ordered(key: Key):
+        text = b.body(key.name, key.kind)
+        if key.kind == "N":
+            return numbers(text)
+        text = F.when(text != "", text)
+        return F.lower(F.hex(F.unbase64(text))) if key.kind == "B" else text
 
     need = schema.keys()
     columns = [ordered(schema.pk).alias("pk"), (ordered(schema.sk) if schema.sk else F.lit("")).alias("sk"), "item", *[ordered(k).alias(c) for c, k in index_columns(schema)]]
-    out = items.select(*columns)
+    out = items.select(*columns, *[F.col(f"`{c}`") for c in keep or []])
     wrong = F.raise_error(F.lit(f"an item lacks a key attribute ({', '.join(k.name for k in need)}) of the right type"))
     return out.withColumn("pk", F.coalesce("pk", wrong)).withColumn("sk", F.coalesce("sk", wrong))
