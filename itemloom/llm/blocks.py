@@ -267,6 +267,13 @@ def release(spark: SparkSession) -> None:
     With spark.cleaner.referenceTracking.cleanCheckpoints these are their checkpoints as well.
     """
     gc.collect()
+    waiting = getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", None)
+    while waiting:  # what Python has dropped; otherwise the JVM is told about once a second
+        told = waiting.pop()
+        if not isinstance(told, tuple):
+            waiting.append(told)
+            break
+        told[0].garbage_collect_object(told[1], False)
     spark.sparkContext._jvm.System.gc()
 
 

@@ -60,6 +60,8 @@ PARTS = 64
 TOP = 1 << 20
 #: Classes of numbers of continuations that are told apart when the bound of these words is chosen.
 LEVELS = 4096
+#: Parts of the documents that are scored one after the other; each reads the text once more and takes its share of the disk.
+ROUNDS = 2
 #: Buckets, unless the trusted text has more than as many times B.BUCKET_BYTES.
 BUCKETS = 64
 PRIOR = 30
@@ -307,7 +309,7 @@ def flags_of(rows: DataFrame, bits: int) -> np.ndarray:
 
 
 def train(trusted: DataFrame, n_buckets: int, top: int = TOP) -> tuple[Model, DataFrame]:
-    """The shared part, and rows (bucket, counts): each bucket's counted pairs with their words' continuations, then (from n_buckets on) each shard's words. trusted: one column, text as binary."""
+    """The shared part, and rows (bucket, shard, counts, words) with each bucket's counted pairs and each shard's words. trusted: one column, text as binary."""
     heavy = heavy_histories(trusted, n_buckets)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,17 +359,10 @@ def train(trusted: DataFrame, n_buckets: int, top: int = TOP) -> tuple[Model, Da
     lower = (int(levels[-1]), int(levels[:-1].sum()), int(levels[1]), int(levels[2]))
     words, times = top_words(shards_of.select("words"), levels[:-1], top)
 
-    def join(mine: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for bucket, raw, own in zip(mine.bucket, mine.counts, mine.words):
-            word = B.undeltas(unbundle(own)[0])
-            held = np.concatenate([B.unplanes(x, np.uint32) for x in told.sort_values("shard")["words"]])
-            at = np.searchsorted(word, word_of(decoded_keys(unbundle(raw))))
-            out.append((bucket, bundle([*unbundle(raw), B.planes(held[at])])))
-        return pd.DataFrame(out, columns=["bucket", "counts"]).astype({"bucket": "int32"})
-
-    pairs_of = counted.select("bucket", "counts", "words").groupBy("bucket").cogroup(table.where("bucket >= 0").select("shard", "bucket", "words").groupBy("bucket")).applyInPandas(join, "bucket int, counts binary")
-    tables = B.kept(pairs_of.union(shards_of.select((F.col("shard") + n_buckets).alias("bucket"), F.col("words").alias("counts"))))
+    # Of each bucket: its pairs and words (shard -1), then its words' continuations by shard; from n_buckets on, the shards themselves.
+    pairs_of = counted.select("bucket", F.lit(-1).alias("shard"), "counts", "words")
+    own = table.where("bucket >= 0").select("bucket", "shard", F.lit(None).cast("binary").alias("counts"), "words")
+    tables = pairs_of.union(own).union(shards_of.select((F.col("shard") + n_buckets).alias("bucket"), "shard", F.lit(None).cast("binary").alias("counts"), "words"))
     return Model([int(x or 0) for x in n], lower, words, times, seen, heavy, totals), tables
 
 
@@ -465,13 +460,16 @@ def scored(docs: DataFrame, model: Model, counted: DataFrame, n_buckets: int, ke
     def score(frame: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
         bucket = int(frame.bucket.iloc[0]) if len(frame) else -1
         common = Model(*shared.value)
-        parts = next((unbundle(raw) for raw in counts.counts), None)
         known, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         own_counts: tuple = (known, n, n, *contexts(known, n))
-        if parts and 0 <= bucket < n_buckets:
+        if 0 <= bucket < n_buckets and len(counts):
+            mine, told = counts[counts["shard"] < 0].iloc[0], counts[counts["shard"] >= 0].sort_values("shard")
+            parts = unbundle(mine.counts)
             known, n = decoded_keys(parts), B.unplanes(parts[3], np.uint32).astype(np.int64)
-            own_counts = (known, n, B.unplanes(parts[4], np.uint32), *contexts(known, n))
-        elif parts and bucket >= n_buckets:
+            followers = np.concatenate([B.unplanes(x, np.uint32) for x in told.words])
+            own_counts = (known, n, followers[np.searchsorted(B.undeltas(unbundle(mine.words)[0]), word_of(known))], *contexts(known, n))
+        elif bucket >= n_buckets and len(counts):
+            parts = unbundle(counts.words.iloc[0])
             known, n = B.undeltas(parts[0]), B.unplanes(parts[1], np.uint32).astype(np.int64)
         out = []
         for body in frame.body if bucket >= 0 else []:
@@ -517,7 +515,12 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float, prior: int, id_c
     n_bytes = trusted.agg(F.sum(F.length("__text"))).first()[0] or 0
     n_buckets = max(1, min(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2), -(-n_bytes // B.BUCKET_BYTES))
     model, tables = train(trusted, n_buckets)
-    rows = B.kept(scored(joined, model, tables, n_buckets, ["__id", "__lang", "__mark", "__own"]))
+    rows = None
+    for i in range(ROUNDS):  # one after the other, so that the exchange of one only takes disk at a time
+        some = joined.where(F.pmod("__mark", F.lit(ROUNDS)) == i)
+        done = B.kept(scored(some, model, tables, n_buckets, ["__id", "__lang", "__mark", "__own"]))
+        rows = done if rows is None else rows.union(done)
+    del model, tables, some, done
     word = F.when(F.col("n_words") > 0, F.col("nll") / F.col("n_words"))
     trusted = rows.where(F.col("__own") & (F.col("n_words") > 0))
     mean = F.sum("nll") / F.sum("n_words")
