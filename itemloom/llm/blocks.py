@@ -105,10 +105,10 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     return out
 
 
-def word_spans(data: np.ndarray, doc_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, doc_ends: np.ndarray, separators: bytes = SEPARATORS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and document indexes of the words of texts that lie one behind the other."""
     table = np.zeros(256, bool)
-    table[list(SEPARATORS)] = True
+    table[list(separators)] = True
     gap = table[data]
     word = ~gap
     first = word.copy()

@@ -27,7 +27,6 @@ import types
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 from pyspark import TaskContext
@@ -41,7 +40,7 @@ WINDOW = 2048
 GROUP = 64
 END_ID = 1
 #: Words whose ids are kept in a worker's memory, twice at most; about 200 bytes each.
-CACHE = 300_000
+CACHE = 600_000
 
 
 def differencing(sizes: np.ndarray, windows: int) -> np.ndarray:
@@ -114,7 +113,7 @@ def byte_symbols() -> list[str]:
 def word_ids(path: str, cache: int = CACHE) -> Callable[[list[str]], list[bytes]]:
     """A function from texts to their ids (little-endian 32 bits), for tokenizers whose pre-tokens never span white space.
 
-    Words are encoded once: a word of letters and ASCII marks behind them is the ids of both, and letters
+    Equal words of some megabytes of text are brought together by 64-bit hashes; each is encoded once: a word of letters and ASCII marks behind them is the ids of both, and letters
     count in lower case where they are ASCII. Such parts are one pre-token each; the merges of many are worked on
     beside each other (`agenda`). Anything else goes to the tokenizer as it is.
     """
@@ -156,15 +155,15 @@ def word_ids(path: str, cache: int = CACHE) -> Callable[[list[str]], list[bytes]
             cuts = (4 * np.searchsorted(at, np.append(starts, len(symbols)))).tolist()
             parts.update(zip(some, [raw[i:j] for i, j in zip(cuts, cuts[1:])]))
 
-    def learn(new: set[str], words: dict[str, bytes]) -> None:
+    def learn(new: set[bytes], words: dict[bytes, bytes]) -> None:
         if len(parts) > cache:
             parts.clear()
-        whole: list[str] = []
+        whole: list[bytes] = []
         heads: list[str] = []
         tails: list[str] = []
-        rest: list[str] = []
+        rest: list[bytes] = []
         for w in new:
-            m = plain.fullmatch(w)
+            m = plain.fullmatch(w.decode())
             if m:
                 letters, marks = m.groups()
                 if letters.isascii():
@@ -183,25 +182,35 @@ def word_ids(path: str, cache: int = CACHE) -> Callable[[list[str]], list[bytes]
         learn_parts(list(set(heads).union(tails).difference(parts, ("",))))
         parts[""] = b""
         words.update(zip(whole, map(operator.add, map(parts.__getitem__, heads), map(parts.__getitem__, tails))))
-        words.update(zip(rest, ids_of(rest)))
+        words.update(zip(rest, ids_of([w.decode() for w in rest])))
 
     def encode(texts: list[str]) -> list[bytes]:
-        own = [t.replace("\n", " ").split(" ") for t in texts]
+        data = "".join(texts).encode()
+        lens = np.array([len(t) if t.isascii() else len(t.encode()) for t in texts], np.int64)
+        starts, ends, doc = B.word_spans(np.frombuffer(data, np.uint8), np.cumsum(lens), b" \n")
+        _, first, which = np.unique(B.span_hashes(np.frombuffer(data, np.uint8), starts, ends), return_index=True, return_inverse=True)
+        own = [data[i:j] for i, j in zip(starts[first].tolist(), ends[first].tolist())]
         if len(state["words"]) > cache:
             state["words"], state["old"] = {}, state["words"]
         words, old = state["words"], state["old"]
-        new = set(chain.from_iterable(own)).difference(words)
-        met = new.intersection(old)
-        words.update((w, old[w]) for w in met)
+        new = [w for w in own if w not in words]
+        met = {w: old[w] for w in new if w in old}
+        words.update(met)
         if len(new) > len(met):
-            learn(new - met, words)
-        return [b"".join(map(words.__getitem__, w)) for w in own]
+            learn({w for w in new if w not in met}, words)
+        ids = [words[w] for w in own]
+        flat, size = np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids], np.int64)
+        n = size[which]
+        to = np.concatenate([[0], np.cumsum(n)])
+        raw = flat[np.repeat((np.cumsum(size) - size)[which] - to[:-1], n) + np.arange(to[-1])].tobytes()
+        cuts = (4 * to[np.searchsorted(doc, np.arange(len(texts) + 1))]).tolist()
+        return [raw[i:j] for i, j in zip(cuts, cuts[1:])]
 
     return encode
 
 
-def encoded(rows: Iterator[tuple], encode: Callable[[list[str]], list[bytes]], most: int = 1 << 20) -> Iterator[tuple]:
-    """(id, ids) of rows (id, text), encoded about a megabyte at a time."""
+def encoded(rows: Iterator[tuple], encode: Callable[[list[str]], list[bytes]], most: int = 3 << 20) -> Iterator[tuple]:
+    """(id, ids) of rows (id, text), encoded some megabytes at a time."""
     held: list[tuple] = []
     size = 0
     for i, text in rows:
