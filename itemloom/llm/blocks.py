@@ -47,11 +47,19 @@ BLOCK_SCHEMA = "uid long, n_docs long, n_bytes long, body binary"
 #: Documents of a block, and blocks of a partition: both have 22 bits, and partitions 19, in the numbers of rows.
 MANY = 22
 
-# Large arrays go back to the system as soon as they are freed, rather than stay with a worker that waits.
-try:
-    ctypes.CDLL(None).mallopt(-3, 1 << 20)
-except (OSError, AttributeError):
-    pass
+def trim() -> None:
+    """Give what is left of small objects back to the system."""
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def settle_memory() -> None:
+    """In a worker: large arrays, Arrow's as well, go back to the system as soon as they are freed, rather than stay while it waits."""
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        libc.mallopt(-3, 1 << 20)
+    pa.set_memory_pool(pa.system_memory_pool())
 
 
 # ---------------------------------------------------------------- hashing
@@ -166,6 +174,8 @@ def packed(ids: np.ndarray, null: np.ndarray, lens: np.ndarray, parts: list, ext
 
 
 def unpacked(body: bytes) -> Block:
+    settle_memory()
+    trim()  # what the last block has left
     raw = zstandard.decompress(body)
     n, size, more = np.frombuffer(raw, np.int64, 3)
     at = 24
@@ -178,6 +188,7 @@ def unpacked(body: bytes) -> Block:
 
 def _packer(target: int, carries: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle_memory()
         held: list[tuple] = []
         size = 0
         uid = TaskContext.get().partitionId() << MANY
@@ -228,6 +239,7 @@ def _packer(target: int, carries: bool):
                     yield flush()
         if held:
             yield flush()
+        trim()
 
     return run
 
@@ -299,6 +311,7 @@ def map_rows(df: DataFrame, of: Callable[[Iterator[tuple]], Iterator[tuple]], dd
                 yield from zip(*[c.to_pylist() for c in whole.slice(at, 256).columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle_memory()
         rows: list[tuple] = []
         size = 0
         for row in of(plain(batches)):
@@ -309,6 +322,8 @@ def map_rows(df: DataFrame, of: Callable[[Iterator[tuple]], Iterator[tuple]], dd
                 rows, size = [], 0
         if rows:
             yield batch(rows)
+        del rows
+        trim()
 
     return df.mapInArrow(run, ddl)
 
@@ -376,6 +391,7 @@ def sent(block_rows: DataFrame, hashes_of, n: int, bits: int = 64) -> DataFrame:
 
 def merged(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A bucket's hashes in order, the row of each, and each one's place in the rows, one behind the other."""
+    settle_memory()
     lists = [undeltas(x) for x in frame.hashes]
     every = np.concatenate(lists)
     row = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])

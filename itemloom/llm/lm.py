@@ -69,7 +69,7 @@ QUANTILE = 0.995
 #: Bits of a history by which a table of fixed size (8 MB) knows histories that the model lacks.
 SEEN_BITS = 26
 #: Text worked on at once.
-PART = 8 << 20
+PART = 4 << 20
 #: Trusted ids up to which labels are broadcast (16 MB); beyond, documents and labels are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 #: Rejected documents up to which what tells them is broadcast (32 MB and their languages); beyond, it is joined by shuffle.
@@ -89,6 +89,7 @@ def unbundle(raw: bytes) -> list[bytes]:
 
 def parts_of(batch: pa.RecordBatch, target: int) -> Iterator[tuple[int, int, B.Block]]:
     """The rows of a batch with the text (binary) in column 0, some megabytes at a time."""
+    B.settle_memory()
     text = batch.column(0).fill_null(b"")
     offsets = np.frombuffer(text.buffers()[1], np.int32, len(text) + 1, text.offset * 4).astype(np.int64) if len(text) else np.zeros(1, np.int64)
     at = 0
@@ -458,6 +459,7 @@ def scored(docs: DataFrame, model: Model, counted: DataFrame, n_buckets: int, ke
                 number += 1
 
     def score(frame: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+        B.settle_memory()
         bucket = int(frame.bucket.iloc[0]) if len(frame) else -1
         common = Model(*shared.value)
         known, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -484,6 +486,7 @@ def scored(docs: DataFrame, model: Model, counted: DataFrame, n_buckets: int, ke
                 at = np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))
                 ln = np.log(common.word(np.where(known[at] == key, n[at], 0) if len(known) else np.zeros(len(key))))
             out.append(np.bincount(doc, -ln * times, size).astype(np.float32).tobytes())
+        B.trim()
         return pd.DataFrame({"block": frame.block, "bucket": frame.bucket, "sums": out or None, "head": frame["head"]})
 
     answers = kept.mapInArrow(send, "bucket int, block long, body binary, head binary").groupBy("bucket").cogroup(counted.groupBy("bucket")).applyInPandas(score, "block long, bucket int, sums binary, head binary")

@@ -39,8 +39,8 @@ from itemloom.llm import blocks as B
 WINDOW = 2048
 GROUP = 64
 END_ID = 1
-#: Words whose ids are kept in a worker's memory, twice at most; about 200 bytes each.
-CACHE = 600_000
+#: Words whose ids are kept in a task's memory, twice at most; about 200 bytes each.
+CACHE = 300_000
 
 
 def differencing(sizes: np.ndarray, windows: int) -> np.ndarray:
@@ -120,8 +120,8 @@ def word_ids(path: str, cache: int = CACHE) -> Callable[[list[str]], list[bytes]
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one core a task
     from tokenizers import Tokenizer
 
-    # What a worker has learnt serves its later tasks as well. Words seen lately outlive the others: they move
-    # from the old half to the new one when they are met again.
+    # Tables serve a worker's later tasks as well; words, those of one task. Words seen lately outlive the others: they
+    # move from the old half to the new one when they are met again.
     state = sys.modules.setdefault("itemloom_word_ids", types.ModuleType("itemloom_word_ids")).__dict__
     if state.get("of") != path:
         tokenizer = Tokenizer.from_file(path)
@@ -209,7 +209,15 @@ def word_ids(path: str, cache: int = CACHE) -> Callable[[list[str]], list[bytes]
     return encode
 
 
-def encoded(rows: Iterator[tuple], encode: Callable[[list[str]], list[bytes]], most: int = 3 << 20) -> Iterator[tuple]:
+def forget() -> None:
+    """At the end of a task: a worker that waits, or does other work next, doesn't keep the words."""
+    state = sys.modules.get("itemloom_word_ids")
+    if state:
+        for name in ("words", "old", "parts"):
+            getattr(state, name).clear()
+
+
+def encoded(rows: Iterator[tuple], encode: Callable[[list[str]], list[bytes]], most: int = 3 << 19) -> Iterator[tuple]:
     """(id, ids) of rows (id, text), encoded some megabytes at a time."""
     held: list[tuple] = []
     size = 0
@@ -273,6 +281,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, group: int = GRO
         held += halves
         if held:
             yield from flush()
+        forget()
 
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     return B.map_rows(chosen, run, f"id {dict(docs.dtypes)[id_col]}, {PIECES}").withColumnRenamed("id", id_col)
