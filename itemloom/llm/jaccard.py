@@ -295,7 +295,7 @@ def link_counts(of: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     share = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum(F.length("tokens")) / CHUNK_BYTES)).cast("int").alias("k")
     sizes = B.kept(members.groupBy("component").agg(share, F.sum(F.length("tokens")).alias("bytes")))
     sent = sizes.agg(F.sum(F.col("k") * F.col("bytes"))).first()[0] or 0
-    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(sent) // CHUNK_BYTES))
+    parts = max(16 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(sent) // CHUNK_BYTES))
     dealt = members.join(sizes.select("component", "k"), "component").withColumn("own", F.expr("int(pmod(xxhash64(node), k))"))
     cells = dealt.select("component", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"), "node", "n", "times", "tokens")
     cells = cells.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).withColumn("part", F.expr(f"pmod(xxhash64(component, i, j), {parts})"))
