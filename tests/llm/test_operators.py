@@ -109,25 +109,32 @@ def test_loser_tree(seed):
     assert out == sorted(sum(runs, [])) and shared[1:] == [prefix(a, b) for a, b in zip(out, out[1:])]
 
 
-def test_jaccard(docs, monkeypatch):
-    table = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    sets = []
-    for r in corpus():
-        w = tuple(WORDS.findall((r[1] or "").translate(table)))
-        sets.append(frozenset(w[j : j + 5] for j in range(len(w) - 4)) if len(w) >= 5 else frozenset([w] if w else []))
-    ids = [r[0] for r in corpus()]
-    parent = list(range(len(ids)))
+def shingles(text):
+    w = tuple(WORDS.findall((text or "").translate({i: i + 32 for i in range(65, 91)})))
+    return frozenset(w[j : j + 5] for j in range(len(w) - 4)) if len(w) >= 5 else frozenset([w] if w else [])
+
+
+def classes(sets):
+    """For each set, the place that stands for its component; sets link from 75 percent."""
+    parent = list(range(len(sets)))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for a in range(len(ids)):
+    for a in range(len(sets)):
         for b in range(a):
             both = len(sets[a] & sets[b])
             if both and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
                 parent[find(a)] = find(b)
+    return find
+
+
+def test_jaccard(docs, monkeypatch):
+    sets = [shingles(r[1]) for r in corpus()]
+    ids = [r[0] for r in corpus()]
+    find = classes(sets)
     whole = lambda a: [b for b in range(len(ids)) if find(b) == find(a)]
     linked = lambda a, b: sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
     want = [(ids[a], len(sets[a]), min((ids[b] for b in whole(a) if ids[b] is not None), default=None), sum(bool(a != b and linked(a, b)) for b in range(len(ids)))) for a in range(len(ids))]
