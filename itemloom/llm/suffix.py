@@ -412,6 +412,16 @@ def dedup(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, id_col: str =
     return done.withColumnRenamed("id", id_col)
 
 
+def whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """gone, with all bytes of each UTF-8 character that has lost one: halves of two characters could make a third."""
+    later = (data & 0xC0) == 0x80
+    out = gone.copy()
+    for _ in range(3):  # a character has four bytes at most
+        out[1:] |= out[:-1] & later[1:]
+        out[:-1] |= out[1:] & later[1:]
+    return out
+
+
 def cleaned(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated bytes taken out of their texts; what is left of a character that was cut goes too."""
     columns = docs.columns
@@ -422,7 +432,7 @@ def cleaned(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, id_col: str
         out = []
         for body in mine.column("body").to_pylist():
             block = B.unpacked(body)
-            gone = removed_bytes(block, flags.to_pandas(), length, kmer, n_buckets, bits)
+            gone = whole_characters(block.data, removed_bytes(block, flags.to_pandas(), length, kmer, n_buckets, bits))
             texts = []
             for i in range(block.n):
                 a, b = int(block.ends[i - 1]) if i else 0, int(block.ends[i])

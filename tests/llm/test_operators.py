@@ -70,6 +70,17 @@ def removed(sequences, width):
         yield i, w, gone
 
 
+def whole_characters(w, gone):
+    """The text without the characters that lost a byte."""
+    out, at = [], 0
+    for c in w.decode():
+        n = len(c.encode())
+        if not any(gone[at : at + n]):
+            out.append(c)
+        at += n
+    return "".join(out)
+
+
 def test_substring(docs):
     want = [(i, len(w), sum(g), sha(" ".join(x for x, y in zip(w, g) if not y).encode())) for i, w, g in removed([(r[0], tuple(WORDS.findall(r[1] or ""))) for r in corpus()], 13)]
     same([tuple(r) for r in substring.digest(docs).collect()], want)
@@ -98,6 +109,15 @@ def test_suffix_cleaned_keeps_columns(docs):
     assert {(r.doc_id, r.key, r.id) for r in rows} == {(r[0], r[8], r[7]) for r in corpus()}
 
 
+def test_suffix_cleaned_makes_no_character_of_two_halves(spark):
+    middle = "".join(chr(97 + i * 7 % 26) for i in range(48))
+    rows = [(1, f"©{middle}é"), (2, f"x é{middle}Ã y"), (3, f"😀{middle}"), (4, f"u \U0001f680{middle}😀 v"), (5, None)]
+    got = suffix.cleaned(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(i, whole_characters(w, g)) for i, w, g in removed([(i, t.encode()) for i, t in rows[:4]], 50)] + [(5, None)]
+    same([tuple(r) for r in got], want)
+    assert dict(want)[2] == "x  y"
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_loser_tree(seed):
     rng = random.Random(seed)

@@ -8,7 +8,7 @@ import zlib
 import corpus_pipeline as P
 from itemloom.llm import lines, lm
 from itemloom.llm.queries import tokenizer_path
-from tests.llm.test_operators import WORDS, classes, corpus, plain_log_probabilities, rank, removed, same, shingles
+from tests.llm.test_operators import WORDS, classes, corpus, plain_log_probabilities, rank, removed, same, shingles, whole_characters
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LABELS = [(i, 1, 0) for i in [*range(60), *range(200, 230), *range(300, 305)]] + [(3, 0, 0), (4, 1, 1), (5, None, 0), (None, 1, 0), (999, 1, 0)]
@@ -70,7 +70,7 @@ def one_of_each(rows):
 
 def without_repeats(rows):
     every = list(removed([(r[0], r[1].encode()) for r in rows], 50))
-    return [resized(r, bytes(x for x, y in zip(w, gone) if not y).decode("utf-8", "ignore")) for r, (_, w, gone) in zip(rows, every)]
+    return [resized(r, whole_characters(w, gone)) for r, (_, w, gone) in zip(rows, every)]
 
 
 def packed(rows, pieces):
