@@ -148,8 +148,11 @@ class Table:
     def _matched(self, keys: DataFrame) -> list[Column]:
         return [F.col(k.name) == F.col(f"__k{i}") for i, k in enumerate(self.schema.keys())]
 
-    def batch_get(self, keys: list[Item]) -> DataFrame:
-        """The rows with one of the keys; misses are silent."""
+    def batch_get(self, keys: list[Item] | DataFrame) -> DataFrame:
+        """The rows with one of the keys; misses are silent. Keys in a DataFrame are columns named after the key attributes; they may be any number, and are joined as Spark sees fit."""
+        if isinstance(keys, DataFrame):
+            frame = keys.select(*[F.col(f"`{k.name}`").alias(f"__k{i}") for i, k in enumerate(self.schema.keys())])
+            return self.df.join(frame, self._matched(frame), "left_semi")
         frame = self._keys_frame(keys)
         return self.df.join(F.broadcast(frame) if len(keys) <= BROADCAST_KEYS else frame, self._matched(frame), "left_semi")
 

@@ -44,8 +44,14 @@ def _get_item(t: Table) -> DataFrame:
 
 _add("get_item", "SELECT * FROM orders ORDER BY o_orderkey, o_custkey LIMIT 1", "cust_orders", _get_item)
 _add("get_item_hash_only", "SELECT * FROM customer WHERE c_custkey = 77", "customers", lambda t: t.get(V(c_custkey=77)))
-_add("batch_get", f"SELECT {EVENTS} FROM events WHERE (user_id, event_id) IN (SELECT user_id, event_id FROM events WHERE event_id IN (5, 40, 77, 123, 500)) AND event_id IN (5, 40, 77, 123, 500)", "user_events",
-     lambda t: t.batch_get([{"user_id": {"N": str(u)}, "event_id": {"N": str(e)}} for u in range(0, 200) for e in (5, 40, 77, 123, 500)]).select("event_id", "user_id", "event_type", "value"))
+
+def _batch_get(t: Table) -> DataFrame:
+    """The keys of five events, whoever their users are, and as many of users that don't exist."""
+    keys = t.df.where(F.col("event_id").isin(5, 40, 77, 123, 500)).select(F.explode(F.array("user_id", -1 - F.col("user_id"))).alias("user_id"), "event_id")
+    return t.batch_get(keys).select(*EVENTS.split(", "))
+
+
+_add("batch_get", f"SELECT {EVENTS} FROM events WHERE (user_id, event_id) IN (SELECT user_id, event_id FROM events WHERE event_id IN (5, 40, 77, 123, 500)) AND event_id IN (5, 40, 77, 123, 500)", "user_events", _batch_get)
 _add("batch_get_hash_only", "SELECT * FROM customer WHERE c_custkey IN (1, 5, 9, 100000000)", "customers", lambda t: t.batch_get([V(c_custkey=k) for k in (1, 5, 9, 100000000)]))
 _add("transact_get", "SELECT ord, c_name, c_mktsegment FROM (VALUES (0, 5), (1, -3), (2, 1)) k(ord, id) LEFT JOIN customer c ON c.c_custkey = k.id", "customers", lambda t: t.transact_get([V(c_custkey=k) for k in (5, -3, 1)]).select("ord", "c_name", "c_mktsegment"))
 
