@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import suppress
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -245,10 +246,14 @@ _add("bulk_load_latest", "SELECT user_id, event_id, event_type, value FROM event
 # ---------------------------------------------------------------- the item API
 
 
-def _warehouse(spark: SparkSession) -> str:
-    """A folder of its own, where all executors can write: beside the checkpoints, or in local runs without such a folder a temporary one."""
+def _folder(spark: SparkSession, kind: str) -> str:
+    """A new path, where all executors can write: beside the checkpoints, or in local runs without such a folder a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{base or tempfile.mkdtemp(prefix='itemloom-')}/warehouse-{uuid.uuid4().hex}"
+    return f"{base or tempfile.mkdtemp(prefix='itemloom-')}/{kind}-{uuid.uuid4().hex}"
+
+
+def _warehouse(spark: SparkSession) -> str:
+    return _folder(spark, "warehouse")
 
 
 def _key_schema(pk: str, sk: str | None = None) -> list[dict]:
@@ -274,7 +279,7 @@ def _stored(db: Engine, table: str, **kinds: str) -> DataFrame:
     return db.store.read(db.store.state().table(table)).select(*[b.body(n, "N" if k != "string" else "S").cast(k).alias(n) for n, k in kinds.items()])
 
 
-def _plain_items(spark: SparkSession, items: list[dict], ddl: str) -> DataFrame:
+def _plain_rows(items: Iterable[dict], ddl: str) -> Iterator[tuple]:
     """Returned items as rows; numbers are read as what ddl says."""
     kinds = [f.split(" ") for f in ddl.split(", ")]
 
@@ -282,7 +287,26 @@ def _plain_items(spark: SparkSession, items: list[dict], ddl: str) -> DataFrame:
         body = None if v is None else next(iter(v.values()))
         return body if body is None or kind == "string" else float(body) if kind == "double" else int(body)
 
-    return spark.createDataFrame([tuple(one(i.get(n), k) for n, k in kinds) for i in items], ddl)
+    return (tuple(one(i.get(n), k) for n, k in kinds) for i in items)
+
+
+def _plain_items(spark: SparkSession, items: Iterable[dict], ddl: str) -> DataFrame:
+    """A few returned items."""
+    return spark.createDataFrame(list(_plain_rows(items, ddl)), ddl)
+
+
+#: Rows that are held here until they are written.
+HELD = 50_000
+
+
+def _written(spark: SparkSession, items: Iterable[dict], ddl: str) -> DataFrame:
+    """Any number of returned items: they go to files, HELD at a time."""
+    at, rows = _folder(spark, "returned"), _plain_rows(items, ddl)
+    batch = list(islice(rows, HELD))
+    while True:
+        spark.createDataFrame(batch, ddl).coalesce(1).write.mode("append").parquet(at)
+        if not (batch := list(islice(rows, HELD))):
+            return spark.read.schema(ddl).parquet(at)
 
 
 def _refused(error: type[ItemError], run: Callable[[], object]) -> ItemError:
@@ -369,16 +393,15 @@ ORACLE_SQL["api_batches"] = """SELECT c_custkey, CASE WHEN c_custkey <= 10 THEN
 UNION ALL SELECT NULL, NULL"""
 
 
-def _paged(db: Engine, operation: str, **request: object) -> list[dict]:
-    """The items of all pages, by cursor."""
-    out: list[dict] = []
+def _paged(db: Engine, operation: str, **request: object) -> Iterator[dict]:
+    """The items of all pages, by cursor; one page is held."""
     start: dict | None = None
     while True:
         page = db.execute(operation, {"TableName": "clients", **request, **({"ExclusiveStartKey": start} if start else {})})
-        out += page["Items"]
+        yield from page["Items"]
         start = page.get("LastEvaluatedKey")
         if not start:
-            return out
+            return
 
 
 def _index_added(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -415,9 +438,9 @@ def _scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages of a filtered Scan, and all segments of another one."""
     db = _engine(spark, sf_dir)
     given = {"FilterExpression": "c_acctbal > :p", "ExpressionAttributeValues": {":p": {"N": "5000"}}}
-    pages = _plain_items(spark, _paged(db, "Scan", Limit=600, **given), "c_custkey long, c_name string").withColumn("how", F.lit("pages"))
-    parts = [x for i in range(2) for x in _paged(db, "Scan", Segment=i, TotalSegments=2)]
-    return pages.unionByName(_plain_items(spark, parts, "c_custkey long, c_name string").withColumn("how", F.lit("segments")))
+    pages = _written(spark, _paged(db, "Scan", Limit=600, **given), "c_custkey long, c_name string").withColumn("how", F.lit("pages"))
+    parts = (x for i in range(2) for x in _paged(db, "Scan", Segment=i, TotalSegments=2))
+    return pages.unionByName(_written(spark, parts, "c_custkey long, c_name string").withColumn("how", F.lit("segments")))
 
 
 QUERIES["api_scan_pages"] = _scan_pages

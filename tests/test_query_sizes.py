@@ -1,8 +1,11 @@
 """Queries of the item engine on tables that go beyond the test data's key ranges and sizes."""
 
+import tracemalloc
+
 import duckdb
 
 from itemloom import queries
+from itemloom.operators import api
 from tests.test_queries import plain
 
 
@@ -22,3 +25,30 @@ def test_batch_get_of_any_user(spark, tmp_path):
     duck.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
     got, want = compared(spark, duck, "batch_get", tmp_path)
     assert got == want and len(got) == 8
+
+
+def test_scan_pages_holds_few_items(spark, tmp_path, monkeypatch):
+    """Names of 2 KB: all returned items together would be over 24 MB here."""
+    duck, n = duckdb.connect(), 8000
+    duck.execute(f"CREATE TABLE customer AS SELECT i AS c_custkey, repeat(chr((65 + i % 26)::INT), 2000) || i AS c_name, 0::INT AS c_nationkey, (i * 7 % 10000)::DOUBLE AS c_acctbal, 'X' AS c_mktsegment FROM range({n}) r(i)")
+    duck.execute(f"COPY customer TO '{tmp_path}/customer.parquet' (FORMAT parquet)")
+    monkeypatch.setattr(queries, "HELD", 500, raising=False)
+    monkeypatch.setattr(api, "AHEAD_BYTES", 1 << 20, raising=False)
+    tracemalloc.start()
+    try:
+        df = queries.QUERIES["api_scan_pages"](spark, str(tmp_path))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    df.write.parquet(f"{tmp_path}/out")
+    duck.execute(f"CREATE VIEW got AS SELECT c_custkey, c_name, how FROM '{tmp_path}/out/*.parquet'")
+    duck.execute(f"CREATE VIEW want AS SELECT c_custkey, c_name, how FROM ({queries.ORACLE_SQL['api_scan_pages']})")
+    assert duck.execute("SELECT (SELECT count(*) FROM got), (SELECT count(*) FROM (FROM got EXCEPT ALL FROM want)), (SELECT count(*) FROM (FROM want EXCEPT ALL FROM got))").fetchone() == (n + duck.execute("SELECT count(*) FROM customer WHERE c_acctbal > 5000").fetchone()[0], 0, 0)
+    assert peak < 16 << 20
+
+
+def test_scan_pages_of_no_rows(spark, tmp_path):
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE customer (c_custkey BIGINT, c_name VARCHAR, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment VARCHAR)")
+    duck.execute(f"COPY customer TO '{tmp_path}/customer.parquet' (FORMAT parquet)")
+    assert compared(spark, duck, "api_scan_pages", tmp_path) == ([], [])
