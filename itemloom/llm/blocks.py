@@ -289,6 +289,17 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def rest(spark: SparkSession) -> None:
+    """Have each executor collect its garbage, by one task each, and give back the heap that this leaves empty.
+
+    A JVM keeps the heap that earlier steps needed, beside the Python workers of the next one. Executors that are
+    busy with other work, or join later, may be passed over: that costs memory alone.
+    """
+    release(spark)
+    n = max(1, spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1)  # the driver is one of them
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def beside(docs: DataFrame, **more: Column) -> DataFrame:
     """Rows (row, and what `more` names): docs' rows as one struct each, whatever their columns' names."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(name) for name, c in more.items()])
